@@ -49,27 +49,40 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
+        """code of each known chunk; its ids are flat[first[code]:][:size[code]]."""
+        self.code: dict[str, int] = {}
+        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, chunks: list[str]) -> None:
+        ids = [self.tokenizer.encode(c, add_special_tokens=False).ids for c in chunks]
+        size = np.array([len(x) for x in ids], np.int64)
+        first = len(self.flat) + np.cumsum(size) - size
+        self.code.update(zip(chunks, range(len(self.code), len(self.code) + len(chunks))))
+        self.flat = np.concatenate((self.flat, np.array([i for x in ids for i in x], np.uint32)))
+        self.first, self.size = np.concatenate((self.first, first)), np.concatenate((self.size, size))
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         split = [None if any(c in t for c in ODD_SPACE) else t.split() for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {}
-        known = self.known
-        new = list({w for ws in split if ws is not None for w in ws if w not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            known.update((w, e.ids) for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)))
-        out = []
-        for t, ws in zip(texts, split):
-            if ws is None:
-                ids = self.tokenizer.encode(t, add_special_tokens=False).ids
-            else:
-                ids = []
-                for w in ws:
-                    ids += known[w]
-            out.append(np.array(ids, np.uint32))
-        return out
+        if len(self.code) > CACHE:
+            self.forget()
+        new = set().union(*(ws for ws in split if ws is not None)).difference(self.code)
+        if new:
+            self.learn(list(new))
+        return [self.whole(t) if ws is None else self.joined(ws) for t, ws in zip(texts, split)]
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def joined(self, chunks: list[str]) -> np.ndarray:
+        code = np.fromiter(map(self.code.__getitem__, chunks), np.int64, len(chunks))
+        size = self.size[code]
+        end = np.cumsum(size)
+        at = np.repeat(self.first[code] - (end - size), size)
+        return self.flat[at + np.arange(len(at))]
 
 
 def pieces(docs: DataFrame, params: PackParams) -> DataFrame:
