@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from .sharding import ranked
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Chunks that a worker remembers at most, from task to task (about 200 bytes each).
 CACHE = 700_000
+#: Texts whose new chunks are learnt together.
+TOGETHER = 200
 
 
 @dataclass(frozen=True)
@@ -44,7 +47,8 @@ class Encoder:
     """Token ids of a text, by white-space separated chunk; chunks are cached up to a bound.
 
     Exact: the normaliser maps white space to one space, the pre-tokenizer drops it and
-    no rule crosses it. Texts with the four code points of ODD_SPACE are encoded whole.
+    no rule crosses it. Texts with the four code points of ODD_SPACE, or with what may be a
+    special token's string, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -59,15 +63,17 @@ class Encoder:
         self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, chunks: list[str]) -> None:
-        ids = [self.tokenizer.encode(c, add_special_tokens=False).ids for c in chunks]
-        size = np.array([len(x) for x in ids], np.int64)
+        encode = self.tokenizer.encode
+        ids = [encode(c, add_special_tokens=False).ids for c in chunks]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
         first = len(self.flat) + np.cumsum(size) - size
         self.code.update(zip(chunks, range(len(self.code), len(self.code) + len(chunks))))
-        self.flat = np.concatenate((self.flat, np.array([i for x in ids for i in x], np.uint32)))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))))
         self.first, self.size = np.concatenate((self.first, first)), np.concatenate((self.size, size))
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if any(c in t for c in ODD_SPACE) else t.split() for t in texts]
+        # the normaliser lower-cases; doing so for A-Z beforehand makes fewer different chunks
+        split = [None if any(c in t for c in ODD_SPACE) or "<|" in t else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").split() for t in texts]
         if len(self.code) > CACHE:
             self.forget()
         new = set().union(*(ws for ws in split if ws is not None)).difference(self.code)
@@ -103,8 +109,8 @@ def pieces(docs: DataFrame, params: PackParams) -> DataFrame:
         for b in batches:
             rows: list[tuple] = []
             ids_of, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for at in range(0, len(texts), 64):
-                for doc, ids in zip(ids_of[at : at + 64], enc.batch(texts[at : at + 64])):
+            for at in range(0, len(texts), TOGETHER):
+                for doc, ids in zip(ids_of[at : at + TOGETHER], enc.batch(texts[at : at + TOGETHER])):
                     ids = np.append(ids, np.uint32(params.separator)).astype("<u4")
                     rows += [(doc, k, s, len(ids[s : s + cap]), zlib.crc32(ids[s : s + cap].tobytes())) for k, s in enumerate(range(0, len(ids), cap))]
             cols = list(zip(*rows)) or [()] * 5
