@@ -24,6 +24,7 @@ from .sharding import ranked
 
 #: Code points that str.split takes for white space and the tokenizer's \s doesn't.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+TAIL = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Chunks that a worker remembers at most, from task to task (about 200 bytes each).
 CACHE = 700_000
 #: Texts whose new chunks are learnt together.
@@ -55,6 +56,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -62,15 +65,43 @@ class Encoder:
         self.code: dict[str, int] = {}
         self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, chunks: list[str]) -> None:
-        encode = self.tokenizer.encode
-        ids = [encode(c, add_special_tokens=False).ids for c in chunks]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+    def add(self, chunks: list[str], flat: np.ndarray, size: np.ndarray) -> None:
         first = len(self.flat) + np.cumsum(size) - size
         self.code.update(zip(chunks, range(len(self.code), len(self.code) + len(chunks))))
-        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))))
+        self.flat = np.concatenate((self.flat, flat.astype(np.uint32)))
         self.first, self.size = np.concatenate((self.first, first)), np.concatenate((self.size, size))
 
+    def add_each(self, chunks: list[str]) -> None:
+        ids = [self.tokenizer.encode(c, add_special_tokens=False).ids for c in chunks]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.add(chunks, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size)
+
+    def add_words(self, words: list[str]) -> None:
+        """Words of letters alone are one pre-token each: many are encoded as one text, whose tokens
+        that end a word part it again. Where the count of these differs, each word is encoded alone."""
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                self.add(part, ids, np.diff(ends, prepend=0))
+            else:
+                self.add_each(part)
+
+    def learn(self, chunks: list[str]) -> None:
+        """ASCII punctuation (but apostrophes) after a letter is always one pre-token apart from what is before."""
+        core_of = {c: core for c in chunks if (core := c.rstrip(TAIL)) != c and core and core[-1].isalpha()}
+        alone = {c for c in chunks if c not in core_of}
+        alone.update(core_of.values(), (c[len(core) :] for c, core in core_of.items()))
+        alone.difference_update(self.code)
+        words = [c for c in alone if c.isalpha()]
+        self.add_words(words)
+        self.add_each(list(alone.difference(words)))
+        if core_of:
+            pairs = [x for c, core in core_of.items() for x in (core, c[len(core) :])]
+            code = np.fromiter(map(self.code.__getitem__, pairs), np.int64, len(pairs))
+            self.add(list(core_of), self.joined(pairs), self.size[code].reshape(-1, 2).sum(1))
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         # the normaliser lower-cases; doing so for A-Z beforehand makes fewer different chunks
         split = [None if any(c in t for c in ODD_SPACE) or "<|" in t else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").split() for t in texts]
