@@ -13,7 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import materialise, table
 from .sharding import ranked
 
-#: Code points that str.split takes for white space and the tokenizer's \s doesn't.
-ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-TAIL = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: ASCII punctuation but the apostrophe, which begins contractions.
+TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Chunks that a worker remembers at most, from task to task (about 200 bytes each).
 CACHE = 700_000
+HOT = 8192
 #: Texts whose new chunks are learnt together.
 TOGETHER = 200
 
@@ -45,11 +45,10 @@ class PackParams:
 
 
 class Encoder:
-    """Token ids of a text, by white-space separated chunk; chunks are cached up to a bound.
+    """Token ids of a text, by chunk between ASCII spaces; chunks are cached up to a bound.
 
     Exact: the normaliser maps white space to one space, the pre-tokenizer drops it and
-    no rule crosses it. Texts with the four code points of ODD_SPACE, or with what may be a
-    special token's string, are encoded whole.
+    no rule crosses it. Texts with what may be a special token's string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -62,61 +61,78 @@ class Encoder:
 
     def forget(self) -> None:
         """code of each known chunk; its ids are flat[first[code]:][:size[code]]."""
-        self.code: dict[str, int] = {}
+        self.code: dict[bytes, int] = {}
+        self.hot: dict[bytes, int] = {}
         self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, chunks: list[str], flat: np.ndarray, size: np.ndarray) -> None:
+    def add(self, chunks: list[bytes], flat: np.ndarray, size: np.ndarray) -> None:
         first = len(self.flat) + np.cumsum(size) - size
         self.code.update(zip(chunks, range(len(self.code), len(self.code) + len(chunks))))
         self.flat = np.concatenate((self.flat, flat.astype(np.uint32)))
         self.first, self.size = np.concatenate((self.first, first)), np.concatenate((self.size, size))
 
-    def add_each(self, chunks: list[str]) -> None:
-        ids = [self.tokenizer.encode(c, add_special_tokens=False).ids for c in chunks]
+    def add_each(self, chunks: list[bytes]) -> None:
+        ids = [self.tokenizer.encode(c.decode(), add_special_tokens=False).ids for c in chunks]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         self.add(chunks, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size)
 
-    def add_words(self, words: list[str]) -> None:
+    def add_words(self, words: list[bytes]) -> None:
         """Words of letters alone are one pre-token each: many are encoded as one text, whose tokens
         that end a word part it again. Where the count of these differs, each word is encoded alone."""
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.int64)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
                 self.add(part, ids, np.diff(ends, prepend=0))
             else:
                 self.add_each(part)
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, chunks: list[bytes]) -> None:
         """ASCII punctuation (but apostrophes) after a letter is always one pre-token apart from what is before."""
-        core_of = {c: core for c in chunks if (core := c.rstrip(TAIL)) != c and core and core[-1].isalpha()}
+        core_of = {c: core for c in chunks if (core := c.rstrip(TAIL)) != c and core and core.decode()[-1].isalpha()}
         alone = {c for c in chunks if c not in core_of}
         alone.update(core_of.values(), (c[len(core) :] for c, core in core_of.items()))
-        alone.difference_update(self.code)
-        words = [c for c in alone if c.isalpha()]
-        self.add_words(words)
-        self.add_each(list(alone.difference(words)))
+        alone = [c for c in alone if c not in self.code]
+        words = {c for c in alone if c.decode().isalpha()}
+        self.add_words(list(words))
+        self.add_each([c for c in alone if c not in words])
         if core_of:
             pairs = [x for c, core in core_of.items() for x in (core, c[len(core) :])]
             code = np.fromiter(map(self.code.__getitem__, pairs), np.int64, len(pairs))
-            self.add(list(core_of), self.joined(pairs), self.size[code].reshape(-1, 2).sum(1))
+            self.add(list(core_of), self.joined(code), self.size[code].reshape(-1, 2).sum(1))
 
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        # the normaliser lower-cases; doing so for A-Z beforehand makes fewer different chunks
-        split = [None if any(c in t for c in ODD_SPACE) or "<|" in t else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").split() for t in texts]
+    def batch(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of UTF-8 texts."""
         if len(self.code) > CACHE:
             self.forget()
-        new = set().union(*(ws for ws in split if ws is not None)).difference(self.code)
+        # the normaliser lower-cases; doing so for A-Z beforehand makes fewer different chunks
+        split = [None if b"<|" in t else t.lower().split() for t in texts]
+        codes = [None if ws is None else self.look(ws) for ws in split]
+        misses = [np.zeros(0, np.int64) if c is None else np.flatnonzero(c < 0) for c in codes]
+        new = {ws[i] for ws, at in zip(split, misses) for i in at.tolist()}
         if new:
             self.learn(list(new))
-        return [self.whole(t) if ws is None else self.joined(ws) for t, ws in zip(texts, split)]
-
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def joined(self, chunks: list[str]) -> np.ndarray:
-        code = np.fromiter(map(self.code.__getitem__, chunks), np.int64, len(chunks))
+            for ws, c, at in zip(split, codes, misses):
+                if len(at):
+                    c[at] = [self.code[ws[i]] for i in at.tolist()]
+        if not self.hot and (seen := [c for c in codes if c is not None]):
+            often = np.argsort(-np.bincount(np.concatenate(seen), minlength=1), kind="stable")[:HOT]
+            by_code = list(self.code)
+            self.hot = {by_code[k]: int(k) for k in often.tolist() if k < len(by_code)}
+        return [self.whole(t) if c is None else self.joined(c) for t, c in zip(texts, codes)]
+
+    def look(self, chunks: list[bytes]) -> np.ndarray:
+        """Codes, -1 where unknown. The most frequent chunks are in a table that fits a CPU's cache."""
+        out = np.fromiter(map(self.hot.get, chunks, repeat(-1)), np.int64, len(chunks))
+        at = np.flatnonzero(out < 0)
+        out[at] = np.fromiter(map(self.code.get, [chunks[i] for i in at.tolist()], repeat(-1)), np.int64, len(at))
+        return out
+
+    def whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+
+    def joined(self, code: np.ndarray) -> np.ndarray:
         size = self.size[code]
         end = np.cumsum(size)
         at = np.repeat(self.first[code] - (end - size), size)
@@ -139,7 +155,7 @@ def pieces(docs: DataFrame, params: PackParams) -> DataFrame:
         enc, cap = encoder(params.tokenizer), params.capacity
         for b in batches:
             rows: list[tuple] = []
-            ids_of, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            ids_of, texts = b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()]
             for at in range(0, len(texts), TOGETHER):
                 for doc, ids in zip(ids_of[at : at + TOGETHER], enc.batch(texts[at : at + TOGETHER])):
                     ids = np.append(ids, np.uint32(params.separator)).astype("<u4")
@@ -148,7 +164,7 @@ def pieces(docs: DataFrame, params: PackParams) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def patterns(lengths: np.ndarray, capacity: int, step: int) -> np.ndarray:
