@@ -211,7 +211,7 @@ def class_areas(spark, sf):
     return zonal.class_areas(cells, e, "patch", m)
 
 
-@query(f"WITH {G} SELECT CAST(row-3 AS INTEGER) AS row, CAST(col-3 AS INTEGER) AS col, dem FROM g, d WHERE row BETWEEN least(3,(nr-1)//2) AND nr-1-least(3,(nr-1)//2) AND col BETWEEN 3 AND nc-4")
+@query(f"WITH {G} SELECT CAST(row-least(3,(nr-1)//2) AS INTEGER) AS row, CAST(col-3 AS INTEGER) AS col, dem FROM g, d WHERE row BETWEEN least(3,(nr-1)//2) AND nr-1-least(3,(nr-1)//2) AND col BETWEEN 3 AND nc-4")
 def trim(spark, sf):
     cells, m = _grid(spark, sf)
     return zonal.trim(cells, 3, m.rows, m.cols).select("row", "col", "dem")
