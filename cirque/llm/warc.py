@@ -174,7 +174,7 @@ def referred(pages: DataFrame, params: WarcParams) -> DataFrame:
     )
     first = keyed.where("sha is not null").groupBy("sha").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").drop("n")
     joined = keyed.join(joinable(first, "warc-first"), "sha", "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    return joined.select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("first") < F.col("page_id")), F.col("first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, params: WarcParams = WarcParams()) -> DataFrame:
