@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from .common import materialise, table
-from .components import components
+from ..operators.components import components
 
 CHUNK = 1 << 16
 
@@ -47,10 +47,10 @@ class SimHashParams:
 
 #: The contract of the query: 3-word shingles, 64 bits, links at 2 bits or fewer.
 CONTRACT = SimHashParams()
-#: Five words and a similarity of 0.8: fingerprints of 192 bits. Sets of similarity 0.8 have a
-#: cosine of 8/9, so each bit differs with probability acos(8/9)/pi = 0.15, 29 bits of 192
-#: (deviation 5); unrelated texts differ in 96 (deviation 7).
-SIMILAR_08 = SimHashParams(words=5, longs=3, lane_bits=32, ball=1, distance=36)
+#: Five words and a similarity of 0.8: fingerprints of 320 bits in ten lanes. Sets of similarity 0.8
+#: have a cosine of 8/9, so each bit differs with probability acos(8/9)/pi = 0.15, 48 bits of 320
+#: (deviation 6); unrelated texts differ in 160 (deviation 9).
+SIMILAR_08 = SimHashParams(words=5, longs=5, lane_bits=32, ball=1, distance=60)
 
 
 def _mix(h: np.ndarray, k: int) -> np.ndarray:
@@ -109,19 +109,25 @@ def _lanes(params: SimHashParams) -> list:
 
 
 def links(prints: DataFrame, params: SimHashParams) -> DataFrame:
-    """Distinct fingerprints (f0, .., node) -> (a, b): nodes whose fingerprints are close."""
+    """Distinct fingerprints (f0, .., node) -> (a, b): nodes whose fingerprints are close.
+
+    The balls carry a key and a node only. In a bucket each node is paired with the next one (no pairs of all
+    with all), and the distance of each pair is verified on the whole fingerprints.
+    """
     names = [f"f{k}" for k in range(params.longs)]
     flips = [0] + ([1 << i if i < 63 else -(1 << 63) for i in range(params.lane_bits)] if params.ball else [])
     keys = F.array(*_lanes(params))
     balls = (
-        prints.withColumn("lane", F.explode(keys))
+        prints.select("node", F.explode(keys).alias("lane"))
         .withColumn("flip", F.explode(F.array(*[F.lit(x).cast("long") for x in flips])))
-        .select(F.col("lane").bitwiseXOR(F.col("flip")).alias("key"), *names, "node")
+        .select(F.col("lane").bitwiseXOR(F.col("flip")).alias("key"), "node")
     )
-    w = Window.partitionBy("key").orderBy(*names)
-    near = balls.select("node", *names, F.lag("node").over(w).alias("other"), *[F.lag(n).over(w).alias(f"o{n}") for n in names])
-    distance = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"o{n}"))) for n in names), F.lit(0))
-    return near.where(F.col("other").isNotNull() & (distance <= params.distance)).select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
+    w = Window.partitionBy("key").orderBy("node")
+    pairs = balls.select(F.lag("node").over(w).alias("a"), F.col("node").alias("b")).where("a is not null").distinct()
+    left = prints.select(F.col("node").alias("a"), *[F.col(n).alias(f"a{n}") for n in names])
+    right = prints.select(F.col("node").alias("b"), *[F.col(n).alias(f"b{n}") for n in names])
+    distance = sum((F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}"))) for n in names), F.lit(0))
+    return pairs.join(left, "a").join(right, "b").where(distance <= params.distance).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, params: SimHashParams = CONTRACT) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cirque.llm import decontaminate, html, linededup, packing, quality, queries, rules, sharding, simhash, urls, warc
-from cirque.llm.components import components
+from cirque.operators.components import components
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -251,9 +251,18 @@ def test_quality_odd(spark):
 # line dedup
 
 
+def cut(text):
+    return re.split(r"(?<=\n)|(?<=[.!?] )", text)
+
+
+def test_units_are_the_cuts():
+    for t in ("", "a", "a. b! c? d.\ne\n\nf. ", "x\0y. z", ". . \n"):
+        assert [u.decode() for u in linededup.units_of(t.encode())] == cut(t)
+
+
 def slow_line_dedup(docs, min_words):
     """Deleted unit places by comparing every run with every earlier one."""
-    units = {k: [(u.strip(), len(u.split())) for u in linededup.units_of(t) if u.split()] for k, t in docs.items()}
+    units = {k: [(u.strip(), len(u.split())) for u in cut(t) if u.split()] for k, t in docs.items()}
     first, gone = {}, {k: set() for k in docs}
     for k in sorted(units):
         for i in range(len(units[k])):
@@ -277,8 +286,8 @@ def test_line_dedup_is_brute_force(spark):
     want = slow_line_dedup(docs, 20)
     assert {k: x["n_deleted"] for k, x in got.items()} == {k: len(v) for k, v in want.items()} and any(want.values())
     for k, x in got.items():
-        left = [u.strip() for u in linededup.units_of(docs[k]) if u.split()]
-        assert [u.strip() for u in linededup.units_of(x["text"]) if u.split()] == [u for i, u in enumerate(left) if i not in want[k]]
+        left = [u.strip() for u in cut(docs[k]) if u.split()]
+        assert [u.strip() for u in cut(x["text"]) if u.split()] == [u for i, u in enumerate(left) if i not in want[k]]
         assert want[k] or x["text"] == docs[k]
 
 
