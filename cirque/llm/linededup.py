@@ -164,14 +164,15 @@ def deletions(docs: DataFrame, params: LineDedupParams) -> DataFrame:
     """(doc_id, th, gone): for each document with later copies, their [start, length] pairs."""
     spark = docs.sparkSession
     all_units = materialise(units(docs), "line-units")
-    again = all_units.groupBy("lid").agg(F.count("*").alias("n")).where("n > 1").select("lid")
+    # written first, so that the join reads plain shuffles on both sides and AQE can split a very common unit's rows
+    again = materialise(all_units.groupBy("lid").agg(F.count("*").alias("n")).where("n > 1").select("lid"), "line-repeated")
     repeated = all_units.join(again, "lid", "left_semi")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_doc = repeated.repartition(n, "doc_id", "th").sortWithinPartitions("doc_id", "th", "pos")
     found = materialise(runs(by_doc, params.min_words), "line-runs")
     here = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("th").alias("t"), F.col("start").alias("s"))
     key = ["name", "name2", "length"]
-    first = found.groupBy(*key).agg(F.count("*").alias("n"), F.min(here).alias("first")).where("n > 1").drop("n")
+    first = materialise(found.groupBy(*key).agg(F.count("*").alias("n"), F.min(here).alias("first")).where("n > 1").drop("n"), "line-first")
     later = found.join(first, key).where(here != F.col("first"))
     return later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "length")).alias("gone"))  # bounded by the document's units
 
