@@ -26,12 +26,12 @@ def is_nodata(x: Column, nodata: float | None) -> Column:
 
 
 def aspect_sector(azimuth: Column) -> Column:
-    i = (F.floor((azimuth.cast("double") + 22.5) / 45) % 8 + 1).cast("int")
-    return F.element_at(F.array(*map(F.lit, SECTORS)), i)
+    i = (F.floor((azimuth.cast("double") + 22.5) / 45) % 8).cast("int")
+    return F.when(azimuth.isNotNull(), F.get(F.array(*map(F.lit, SECTORS)), i))
 
 
 def class_name(c: Column) -> Column:
-    return F.get(F.array(*map(F.lit, CLASS_NAMES)), c.cast("int"))
+    return F.when(c.isNotNull(), F.get(F.array(*map(F.lit, CLASS_NAMES)), c.cast("int")))
 
 
 def class_rgba(c: Column) -> Column:
@@ -76,7 +76,7 @@ def danger_known(s: Column) -> Column:
 
 
 def danger_name(level: Column) -> Column:
-    return F.get(F.array(*map(F.lit, DANGER)), level.cast("int") - 1)
+    return F.when(level.isNotNull(), F.get(F.array(*map(F.lit, DANGER)), level.cast("int") - 1))
 
 
 def decode_location(s: Column) -> Column:
@@ -187,3 +187,13 @@ def utm_inverse(x: Column, y: Column, lon0: Column) -> tuple[Column, Column]:
     for j, c in enumerate(delta, 1):
         lat = lat + c * F.sin(2 * j * chi)
     return lon0 + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))), F.degrees(lat)
+
+
+def degree_tiles(min_x: Column, min_y: Column, max_x: Column, max_y: Column) -> Column:
+    """Names (north edge, west edge) of the one-degree tiles under a box, north to south, west to east."""
+    north = F.sequence(F.ceil(max_y).cast("int"), F.floor(min_y).cast("int") + 1, F.lit(-1))
+    west = F.sequence(F.floor(min_x).cast("int"), F.ceil(max_x).cast("int") - 1)
+    name = lambda n, w: F.concat(
+        F.when(n >= 0, "n").otherwise("s"), F.lpad(F.abs(n).cast("string"), 2, "0"), F.when(w >= 0, "e").otherwise("w"), F.lpad(F.abs(w).cast("string"), 3, "0")
+    )
+    return F.flatten(F.transform(north, lambda n: F.transform(west, lambda w: name(n, w))))

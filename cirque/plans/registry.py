@@ -375,6 +375,62 @@ def release_from_terrain(spark, sf):
     return cells.select("row", "col", local.release_from_terrain(F.col("dem"), F.col("forest").cast("double")).alias("start"), F.round(local.cover_fraction(F.col("forest")), 6).alias("fraction"))
 
 
+@query("SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY n DESC, w)-1 AS INTEGER) AS k, CASE WHEN n>=0 THEN 'n' ELSE 's' END || lpad(CAST(abs(n) AS VARCHAR),2,'0') || CASE WHEN w>=0 THEN 'e' ELSE 'w' END || lpad(CAST(abs(w) AS VARCHAR),3,'0') AS tile FROM (SELECT c_custkey, CAST(c_custkey*7919 % 360 - 180 AS DOUBLE)+0.37 AS lon, CAST(c_custkey*104729 % 160 - 80 AS DOUBLE)+0.21 AS lat FROM customer), unnest(range(CAST(floor(lat-0.5) AS BIGINT)+1, CAST(ceil(lat+0.5) AS BIGINT)+1)) AS a(n), unnest(range(CAST(floor(lon-1) AS BIGINT), CAST(ceil(lon+1) AS BIGINT))) AS b(w)")
+def degree_tiles(spark, sf):
+    lon, lat = F.col("lon"), F.col("lat")
+    names = S.degree_tiles(lon - 1, lat - 0.5, lon + 1, lat + 0.5)
+    return _places(spark, sf).select("c_custkey", F.posexplode(names).alias("k", "tile"))
+
+
+@query(f"WITH {G} SELECT band, value FROM (SELECT dem, CAST(forest AS DOUBLE) AS forest, CAST(pra AS DOUBLE) AS pra, CAST(patch AS DOUBLE) AS patch FROM g WHERE row=1 AND col=7) UNPIVOT (value FOR band IN (dem, forest, pra, patch))")
+def sample_bands(spark, sf):
+    return grids.sample_bands(_grid(spark, sf)[0].select("grid_id", "row", "col", "dem", "forest", "pra", "patch"), 1, 7)
+
+
+@query("SELECT c_custkey, CAST(greatest(0, least(26, ceil(log2(2*pi()*6378137.0/256*cos(radians(lat))/(5 + c_custkey % 40))))) AS INTEGER) AS zoom FROM (SELECT c_custkey, CAST(c_custkey*104729 % 160 - 80 AS DOUBLE)+0.21 AS lat FROM customer)")
+def native_zoom(spark, sf):
+    return _places(spark, sf).select("c_custkey", S.native_zoom((5 + F.col("c_custkey") % 40).cast("double"), F.col("lat")).alias("zoom"))
+
+
+@query(f"WITH {G} SELECT row, col, CASE WHEN dem<2050 AND dem+z_delta>2150 THEN 'btl,tln,alp' WHEN dem<2050 AND dem+z_delta>=2050 THEN 'btl,tln' WHEN dem<2050 THEN 'btl' WHEN dem>2150 THEN 'alp' WHEN dem+z_delta>2150 THEN 'tln,alp' ELSE 'tln' END AS bands FROM g")
+def treeline_bands(spark, sf):
+    d = _grid(spark, sf)[0].withColumn("min_elevation", F.col("dem")).withColumn("max_elevation", F.col("dem") + F.col("z_delta"))
+    return forecast.with_bands(d, 2050, 2150).select("row", "col", F.array_join("bands", ",").alias("bands"))
+
+
+@query("WITH z AS (SELECT 'z' || n_nationkey AS zone_id, 'a' || (n_nationkey % 4) AS area_id FROM nation), f AS (SELECT r_regionkey AS seq, 'f' || r_regionkey AS id, 'a' || (r_regionkey % 3) AS area_id, 'z' || (r_regionkey*3) AS p1, 'z' || (r_regionkey*2+1) AS p2 FROM region), m AS (SELECT zone_id, 0 AS how, seq, id FROM z JOIN f ON zone_id=p1 OR zone_id=p2 UNION ALL SELECT zone_id, 1, seq, id FROM z JOIN f USING (area_id)) SELECT zone_id, id AS forecast_id FROM m QUALIFY row_number() OVER (PARTITION BY zone_id ORDER BY how, seq) = 1")
+def forecast_of_zone(spark, sf):
+    n, r = F.col("n_nationkey"), F.col("r_regionkey")
+    z = spark.read.parquet(f"{sf}/nation.parquet").select(F.concat(F.lit("z"), n).alias("zone_id"), F.concat(F.lit("a"), n % 4).alias("area_id"))
+    f = spark.read.parquet(f"{sf}/region.parquet").select(r.alias("seq"), F.concat(F.lit("f"), r).alias("id"), F.concat(F.lit("a"), r % 3).alias("area_id"), F.array(F.concat(F.lit("z"), r * 3), F.concat(F.lit("z"), r * 2 + 1)).alias("polygons"))
+    return forecast.forecast_of(z, f)
+
+
+@query("WITH e AS (SELECT event_id, ['N','E','S',NULL][1 + event_id % 4] AS asp, ['btl','tln','alp'][1 + event_id % 3] AS band FROM events), p AS (SELECT * FROM (VALUES ('slab', 'N', 'alp', false), ('slab', 'E', 'tln', false), ('wet', 'S', 'btl', true)) t(type, a, b, odd)) SELECT event_id, type, CASE WHEN asp IS NULL THEN NULL WHEN bool_or(a=asp AND b=band) THEN true WHEN bool_or(odd) THEN NULL ELSE false END AS listed_here FROM e, p GROUP BY event_id, asp, band, type")
+def problems_listed(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.lit("f").alias("forecast_id"), F.get(F.array(F.lit("N"), F.lit("E"), F.lit("S"), F.lit(None)), (F.col("event_id") % 4).cast("int")).alias("dominant_aspect"), F.array(F.get(F.array(F.lit("btl"), F.lit("tln"), F.lit("alp")), (F.col("event_id") % 3).cast("int"))).alias("bands"))
+    p = spark.createDataFrame([("f", "slab", ["n_alp", "tln e"]), ("f", "wet", ["S-btl", "mystery"])], "forecast_id string, type string, codes array<string>")
+    return forecast.problems_here(e, p).select("event_id", "type", "listed_here")
+
+
+@query(f"WITH {G} SELECT max(CAST(z_delta*3 AS DOUBLE)) AS max_runout FROM g WHERE cell_count > 0")
+def max_runout(spark, sf):
+    return compare.max_runout(_grid(spark, sf)[0].withColumn("flow_distance", F.col("z_delta") * 3))
+
+
+@query(f"{BASE} SELECT row, col, CASE WHEN aspect IS NULL THEN NULL ELSE ['N','NE','E','SE','S','SW','W','NW'][1 + CAST(floor((CAST(aspect AS DOUBLE)+22.5)/45) AS INTEGER) % 8] END AS sector FROM asp")
+def aspect_sectors(spark, sf):
+    cells, m = _grid(spark, sf)
+    return focal.horn_aspect(cells, "dem", m.rows, m.cols).select("row", "col", S.aspect_sector(F.col("aspect")).alias("sector"))
+
+
+@query(f"WITH {G} SELECT row, col, CAST(row AS INTEGER) % 2 AS parity FROM (SELECT row//2 AS row, col//2 AS col FROM g WHERE row%2=0 AND col%2=0)")
+def overview(spark, sf):
+    from ..sources.geotiff import overviews
+
+    return overviews(_grid(spark, sf)[0], 1).select("row", "col", (F.col("row") % 2).alias("parity"))
+
+
 def queries():
     return dict(Q)
 
