@@ -39,7 +39,7 @@ def health() -> dict:
 def regions(all_: list[Region]) -> dict:
     out = []
     for r in sorted(all_, key=lambda r: r.name):
-        hist = {row["ates"]: row["count"] for row in r.cells.groupBy("ates").count().collect()}  # at most 6 rows
+        hist = {row["exposure"]: row["count"] for row in r.cells.groupBy("exposure").count().collect()}  # at most 6 rows
         out.append({"name": r.name, "rows": r.meta.rows, "cols": r.meta.cols, "epsg": r.meta.epsg, "classes": {CLASS_NAMES[k]: hist.get(k, 0) for k in range(5)}, "nodata": hist.get(None, 0)})
     return {"regions": out, "disclaimer": DISCLAIMER}
 
@@ -71,7 +71,7 @@ def point(all_: list[Region], x: float, y: float, name: str | None = None) -> di
     v = c.asDict() if c else {}
     az = v.get("aspect")
     return {
-        "region": r.name, "row": at[0], "col": at[1], "class": v.get("ates"), "class_name": None if v.get("ates") is None else CLASS_NAMES[v["ates"]],
+        "region": r.name, "row": at[0], "col": at[1], "class": v.get("exposure"), "class_name": None if v.get("exposure") is None else CLASS_NAMES[v["exposure"]],
         "elevation_m": v.get("dem"), "slope_deg": v.get("slope"), "aspect": None if az is None else SECTORS[int((az + 22.5) // 45) % 8],
         "forest": v.get("forest"), "on_avalanche_path": None if v.get("travel_angle") is None else v["travel_angle"] > 0,
         "in_release_area": None if v.get("pra") is None else v["pra"] == 1, "overhead": v.get("overhead"), "disclaimer": DISCLAIMER,
@@ -83,7 +83,7 @@ def area(all_: list[Region], edges: DataFrame, name: str | None = None) -> dict:
     if first is None:
         raise ApiError(400, "no polygon")
     r = pick(all_, name, [(first["x1"], first["y1"])])
-    rows = {x["class"]: x["area_m2"] for x in class_areas(r.cells, edges, "ates", r.meta).collect()}  # at most 6 rows
+    rows = {x["class"]: x["area_m2"] for x in class_areas(r.cells, edges, "exposure", r.meta).collect()}  # at most 6 rows
     known = sum(v for k, v in rows.items() if k is not None)
     return {
         "region": r.name, "class_m2": {CLASS_NAMES[k]: rows.get(k, 0.0) for k in range(5)}, "nodata_m2": rows.get(None, 0.0),

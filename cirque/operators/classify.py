@@ -35,7 +35,7 @@ def merged_classes(cells: DataFrame, meta: GridMeta, p: ClassifyParams) -> DataF
 
 
 def classify(cells: DataFrame, meta: GridMeta, p: ClassifyParams = ClassifyParams(), oracle_parity: bool = False, fill: Callable | None = fill_nodata) -> DataFrame:
-    """cells with all intermediates and `ates`. fill: the island filler, or None to leave islands empty.
+    """cells with all intermediates and `exposure`. fill: the island filler, or None to leave islands empty.
 
     Parity mode gives null for class 0; otherwise null where elevation or forest have no data.
     """
@@ -43,9 +43,9 @@ def classify(cells: DataFrame, meta: GridMeta, p: ClassifyParams = ClassifyParam
     least = slope_weight_area(meta.dx, meta.dy, p.isl_size_m2)
     d = cluster_mask(numbered(label(d, "_shifted", meta.cols)), least).withColumn("_held", F.when(F.col("keep"), F.col("_shifted")))
     d = fill(d, "_held", "keep", least / 4, "_filled") if fill else d.withColumn("_filled", F.col("_held"))
-    ates = F.col("_filled") - 1
-    ates = F.when(ates != 0, ates) if oracle_parity else F.when(F.col("dem").isNotNull() & F.col("forest").isNotNull(), ates)
-    return d.withColumn("ates", ates.cast("int")).drop("_shifted", "_held", "_filled", "root", "label", "keep")
+    exposure = F.col("_filled") - 1
+    exposure = F.when(exposure != 0, exposure) if oracle_parity else F.when(F.col("dem").isNotNull() & F.col("forest").isNotNull(), exposure)
+    return d.withColumn("exposure", exposure.cast("int")).drop("_shifted", "_held", "_filled", "root", "label", "keep")
 
 
 def with_overhead(cells: DataFrame, max_z: float, count_max: float | None = None) -> DataFrame:

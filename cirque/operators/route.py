@@ -43,14 +43,14 @@ def sample(points: DataFrame, cells: DataFrame, meta: GridMeta) -> DataFrame:
 def stretches(pieces: DataFrame) -> DataFrame:
     """Runs of equal part, class and outside flag, with lengths, elevation range, aspect lengths and flags.
 
-    pieces: segmentize() and sample() with columns ates, and dem, aspect, travel_angle, overhead, pra if known.
+    pieces: segmentize() and sample() with columns exposure, and dem, aspect, travel_angle, overhead, pra if known.
     Start and end are cumulative over the parts of a route.
     """
     for name in ("dem", "aspect", "travel_angle", "overhead", "pra"):
         if name not in pieces.columns:
             pieces = pieces.withColumn(name, F.lit(None).cast("double"))
     w = Window.partitionBy("route_id").orderBy("part", "seq", "piece")
-    p = pieces.withColumn("class", F.when(F.col("ates").between(0, 4), F.col("ates").cast("int")))
+    p = pieces.withColumn("class", F.when(F.col("exposure").between(0, 4), F.col("exposure").cast("int")))
     key = F.struct("part", F.coalesce("class", F.lit(-1)), "outside")
     p = p.withColumn("_new", F.when(F.lag(key).over(w) == key, 0).otherwise(1)).withColumns({
         "stretch": F.sum("_new").over(w), "_end": F.sum("length").over(w),

@@ -236,7 +236,7 @@ ROUTES = """v AS (SELECT user_id, CAST(event_id*7919 % 520 AS DOUBLE) AS x, CAST
 
 def _stretches(spark, sf):
     cells, m = _grid(spark, sf)
-    layers = cells.select("grid_id", "row", "col", F.col("patch").alias("ates"), "dem", "pra")
+    layers = cells.select("grid_id", "row", "col", F.col("patch").alias("exposure"), "dem", "pra")
     return route.evaluate(grids.routes(spark, sf), layers, m)
 
 
@@ -359,7 +359,7 @@ def flow_runout(spark, sf):
 def classify(spark, sf):
     cells, m = _grid(spark, sf)
     d = focal.horn_slope(cells, "dem", m.dx, m.dy, m.rows, m.cols)
-    return C.classify(d, m, ClassifyParams(isl_size_m2=1500)).select("row", "col", "merge_all", "ates")
+    return C.classify(d, m, ClassifyParams(isl_size_m2=1500)).select("row", "col", "merge_all", "exposure")
 
 
 @query()

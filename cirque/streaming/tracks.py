@@ -16,4 +16,4 @@ def classified(positions: DataFrame, cells: DataFrame, meta: GridMeta) -> DataFr
 def exposure(positions: DataFrame, cells: DataFrame, meta: GridMeta, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """Positions per user, window and class, with a watermark."""
     c = classified(positions, cells, meta).withWatermark("ts", late)
-    return c.groupBy("user_id", F.window("ts", window), "ates").agg(F.count("*").alias("positions"))
+    return c.groupBy("user_id", F.window("ts", window), "exposure").agg(F.count("*").alias("positions"))

@@ -13,11 +13,11 @@ META = model.GridMeta(500000, 4500000, 10, 10, 300, 20, 32613)
 
 
 def cells(spark):
-    return spark.range(6000).selectExpr("0L as grid_id", "cast(id div 20 as int) as row", "cast(id % 20 as int) as col", "cast(if(id % 7 = 0, null, id % 5) as smallint) as ates", "cast(id / 3.0 as float) as dem")
+    return spark.range(6000).selectExpr("0L as grid_id", "cast(id div 20 as int) as row", "cast(id % 20 as int) as col", "cast(if(id % 7 = 0, null, id % 5) as smallint) as exposure", "cast(id / 3.0 as float) as dem")
 
 
 def test_geotiff(spark, tmp_path):
-    for bands in (["ates"], ["ates", "dem"]):
+    for bands in (["exposure"], ["exposure", "dem"]):
         geotiff.write(cells(spark), bands, META, str(tmp_path / "x.tif"), {"tool": "a & b"})
         got, meta = geotiff.read(spark, str(tmp_path / "x.tif"))
         want = cells(spark).select("row", "col", *[F.col(b).cast("double").alias(b) for b in bands])
@@ -35,7 +35,7 @@ def test_products(spark, tmp_path):
     whole = out.where("row = 98 and col = 8").first()
     assert abs(p["slope"] - math.degrees(math.atan(0.5))) < 1e-4 and p["slope_class"] == whole["slope_class"]
     assert terrain.check_slope(out, out) and not terrain.check_slope(out, out.withColumn("slope", F.col("slope") + 1))
-    terrain.save_region(out.withColumn("ates", F.lit(2)), meta, str(tmp_path), "b")
+    terrain.save_region(out.withColumn("exposure", F.lit(2)), meta, str(tmp_path), "b")
     r = terrain.load_regions(spark, str(tmp_path), ["b"])
     assert api.point(r, x, y)["class"] == 2 and api.point(r, x, y)["elevation_m"] == 1500.0
 

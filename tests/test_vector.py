@@ -18,7 +18,7 @@ META = model.GridMeta(0, 100, 10, 10, 10, 10)
 
 
 def cells(spark):
-    return spark.range(100).selectExpr("0L as grid_id", "cast(id div 10 as int) as row", "cast(id % 10 as int) as col", "if(id % 10 < 5, 1, 3) as ates", "2000D + id as dem")
+    return spark.range(100).selectExpr("0L as grid_id", "cast(id div 10 as int) as row", "cast(id % 10 as int) as col", "if(id % 10 < 5, 1, 3) as exposure", "2000D + id as dem")
 
 
 def line(spark, *pts):
@@ -31,7 +31,7 @@ def test_route(spark):
 
 
 def test_route_outside_and_nodata(spark):
-    c = cells(spark).withColumn("ates", F.when(~((F.col("row") == 4) & (F.col("col") == 2)), F.col("ates")))
+    c = cells(spark).withColumn("exposure", F.when(~((F.col("row") == 4) & (F.col("col") == 2)), F.col("exposure")))
     t = route.totals(route.evaluate(line(spark, (-20, 55), (30, 55)), c, META)).first()
     assert (t["outside_m"], t["nodata_m"], t["class1_m"]) == (20.0, 10.0, 20.0)
     with pytest.raises(ValueError):
@@ -120,7 +120,7 @@ def test_render(spark):
     lon0, lat = -105.0, 40.5
     e, n = spark.range(1).select(*S.utm_forward(F.lit(-105.9), F.lit(lat), F.lit(lon0))).first()
     m = model.GridMeta(e, n, 10, 10, 10, 10, 32613)
-    out = tiles.render(cells(spark), "ates", m, (-105.9, lat - 0.001, -105.898, lat), [14], lon0).collect()
+    out = tiles.render(cells(spark), "exposure", m, (-105.9, lat - 0.001, -105.898, lat), [14], lon0).collect()
     assert out and all(bytes(r["png"]).startswith(b"\x89PNG") for r in out)
 
 
@@ -139,7 +139,7 @@ def test_grid_store(spark, tmp_path):
     back, meta = grids.read_grid(spark, str(tmp_path / "g"))
     assert meta == META and back.count() == 100
     assert grids.read_window(spark, str(tmp_path / "g"), 2, 3, 4, 5, tile=4).count() == 4
-    assert {x["band"]: x["value"] for x in grids.sample_bands(back, 0, 7).collect()} == {"ates": 3.0, "dem": 2007.0}
+    assert {x["band"]: x["value"] for x in grids.sample_bands(back, 0, 7).collect()} == {"exposure": 3.0, "dem": 2007.0}
 
 
 def test_geographic_window(spark):
@@ -157,7 +157,7 @@ def test_stream(spark, tmp_path):
     q = tracks.exposure(s, cells(spark), META).writeStream.outputMode("complete").format("memory").queryName("exposure").start()
     q.processAllAvailable()
     q.stop()
-    assert {(r["ates"], r["positions"]) for r in spark.table("exposure").collect()} == {(1, 1), (3, 1)}
+    assert {(r["exposure"], r["positions"]) for r in spark.table("exposure").collect()} == {(1, 1), (3, 1)}
 
 
 def test_queries_match_sql(spark):
