@@ -10,7 +10,7 @@ dimension value with a third of the rows is spread over partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import materialise, table
 
@@ -79,13 +79,8 @@ def ranked(df: DataFrame, keys: list[str], name: str, partitions: int | None = N
     placed = materialise(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", mono), name)
     split = placed.withColumn("_part", F.shiftrightunsigned("_m", 33)).withColumn("_at", F.col("_m").bitwiseAND((1 << 33) - 1))
     sizes = split.groupBy("_part").agg(F.count("*").alias("_n"))
-    table_of = sizes.agg(F.map_from_entries(F.collect_list(F.struct("_part", "_n"))).alias("_sizes"))  # as many entries as partitions
-    offsets = table_of.select(
-        F.explode(F.map_keys("_sizes")).alias("_part"), "_sizes"
-    ).select(
-        "_part",
-        F.aggregate(F.filter(F.map_entries("_sizes"), lambda e: e["key"] < F.col("_part")), F.lit(0).cast("long"), lambda s, e: s + e["value"]).alias("_off"),
-    )
+    # one row per partition: a running sum over so few is one short task, and its rows are what is broadcast
+    offsets = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_off"))
     return split.join(F.broadcast(offsets), "_part").withColumn("rank", F.col("_off") + F.col("_at")).drop("_part", "_at", "_m", "_off")
 
 
