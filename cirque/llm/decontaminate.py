@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import slices, table
 
 #: ASCII bytes other than a-z and 0-9 end a word.
 KEEP = bytes(c if c >= 128 or chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
@@ -175,7 +175,7 @@ def _block(docs: DataFrame, block: list[tuple[int, str]], p: DecontaminationPara
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         looks = {n: Lookup(k) for n, k in shared_keys.value.items()}
         tally = {n: np.zeros(len(k), np.int64) for n, k in shared_keys.value.items()}
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 w = word_hashes(b" ".join(normal(t)))
                 for n, look in looks.items():
@@ -203,7 +203,7 @@ def _block(docs: DataFrame, block: list[tuple[int, str]], p: DecontaminationPara
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, words, ids = shared.value
         looks = {n: Lookup(x[0]) for n, x in pack.items()}
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = word_hashes(b" ".join(normal(t)))

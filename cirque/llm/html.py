@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import joinable, table
+from .common import joinable, slices, table
 from .urls import host_of
 
 # Element names of HTML and words of class or id attributes.
@@ -237,7 +237,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
     """(host, path): the path with most votes on each host; ties go to the smaller path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows: dict[tuple[str, str], float] = {}
             for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for p, s in votes(html):
@@ -262,7 +262,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             text = [extract(h, p) for h, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"]

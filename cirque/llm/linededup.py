@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialise, table
+from .common import materialise, slices, table
 
 #: Units keep their separator at their end: joined they are the text.
 CUT = re.compile(rb"(?<=\n)|(?<=[.!?] )")
@@ -55,7 +55,7 @@ def units(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, th_of = xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest
-        for b in batches:
+        for b in slices(batches):
             doc, th, pos, lid, n = [], [], [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not t:

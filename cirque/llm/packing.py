@@ -19,13 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialise, table
+from .common import materialise, slices, table
 from .sharding import ranked
 
 #: ASCII punctuation but the apostrophe, which begins contractions.
 TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Chunks that a worker remembers at most, from task to task (about 200 bytes each).
-CACHE = 700_000
+CACHE = 350_000
 HOT = 8192
 #: Texts whose new chunks are learnt together.
 TOGETHER = 200
@@ -153,7 +153,7 @@ def pieces(docs: DataFrame, params: PackParams) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, cap = encoder(params.tokenizer), params.capacity
-        for b in batches:
+        for b in slices(batches):
             rows: list[tuple] = []
             ids_of, texts = b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()]
             for at in range(0, len(texts), TOGETHER):

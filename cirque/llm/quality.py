@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import slices, table
 
 SYMBOLS, UPPER, DIGITS = b"#*$%&|<>{}[]=\\/^~_@+", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 N_FEATURES = 13
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
     chosen = known.where(~held_out("doc_id", params.folds)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [(d, y, *line_features(t)) for d, y, t in zip(*(b.column(k).to_pylist() for k in range(3))) if (t or "").count("\n") < params.sample_lines]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2].tobytes() for r in rows], pa.binary()), pa.array([r[3].tobytes() for r in rows], pa.binary())],
@@ -210,7 +210,7 @@ def scored(docs: DataFrame, field: Field) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1)
             out = []
             for at in range(0, b.num_rows, PER_BATCH):

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from .common import materialise, table
+from .common import materialise, slices, table
 from ..operators.components import components
 
 CHUNK = 1 << 16
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, params: SimHashParams) -> DataFrame:
     names = [f"f{k}" for k in range(params.longs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             f = np.array([fingerprint(t, params.words, params.longs) for t in b.column(1).to_pylist()], np.int64).reshape(-1, params.longs)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k]) for k in range(params.longs))], ["doc_id", *names])
 
