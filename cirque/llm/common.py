@@ -23,6 +23,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+ARROW_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches held to ARROW_ROWS rows: whole texts are long rows, and a batch is in
+    memory twice, off the JVM's heap and in the worker. A smaller setting of the session stays."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most so many rows: what a kernel holds as Python objects at once."""
     for b in batches:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import slices, table
+from .common import slices, small_batches, table
 
 #: ASCII bytes other than a-z and 0-9 end a word.
 KEEP = bytes(c if c >= 128 or chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
@@ -168,7 +168,7 @@ def _block(docs: DataFrame, block: list[tuple[int, str]], p: DecontaminationPara
     sizes = [min(p.n, len(w)) for w in words]
     grams = [gram_hashes(w, n) for w, n in zip(words, sizes)]
     lengths = sorted(set(sizes))
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    thin = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keys = {n: np.unique(np.concatenate([g for g, s in zip(grams, sizes) if s == n])) for n in lengths}
     shared_keys = spark.sparkContext.broadcast(keys)
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import joinable, slices, table
+from .common import joinable, slices, small_batches, table
 from .urls import host_of
 
 # Element names of HTML and words of class or id attributes.
@@ -259,7 +259,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     the empty host. Repeated rows are extracted each.
     """
     winners = joinable(host_paths(pages), "host-paths")
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
+    own = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialise, slices, table
+from .common import materialise, slices, small_batches, table
 
 #: Units keep their separator at their end: joined they are the text.
 CUT = re.compile(rb"(?<=\n)|(?<=[.!?] )")
@@ -76,7 +76,7 @@ def units(docs: DataFrame) -> DataFrame:
                 [pa.array(doc, pa.int64()), as_long(th), pa.array(pos, pa.int32()), as_long(lid), pa.array(n, pa.int32())], ["doc_id", "th", "pos", "lid", "w"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8")).mapInArrow(run, "doc_id long, th long, pos int, lid long, w int")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8")).mapInArrow(run, "doc_id long, th long, pos int, lid long, w int")
 
 
 def _pair(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import slices, table
+from .common import slices, small_batches, table
 
 SYMBOLS, UPPER, DIGITS = b"#*$%&|<>{}[]=\\/^~_@+", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 N_FEATURES = 13
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
             )
 
     chosen = chosen.select(F.col("doc_id").alias("_id"), "y")  # at most params.sample rows
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     joined = own.join(F.broadcast(chosen), own.doc_id == chosen._id).select("doc_id", "y", "text")
     rows = joined.mapInArrow(run, "doc_id long, y int, x binary, w binary").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r["doc_id"])
@@ -217,7 +217,7 @@ def scored(docs: DataFrame, field: Field) -> DataFrame:
                 out.append(f.score([line_features(t) for t in texts.slice(at, PER_BATCH).to_pylist()]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from .common import materialise, slices, table
+from .common import materialise, slices, small_batches, table
 from ..operators.components import components
 
 CHUNK = 1 << 16
@@ -94,7 +94,7 @@ def fingerprints(docs: DataFrame, params: SimHashParams) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k]) for k in range(params.longs))], ["doc_id", *names])
 
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ["doc_id", *names]])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, schema)
 
 
 def _lanes(params: SimHashParams) -> list:

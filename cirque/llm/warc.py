@@ -20,7 +20,7 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fresh_path, joinable, materialise, table
+from .common import fresh_path, joinable, materialise, small_batches, table
 
 CHUNK = 1 << 18
 #: Fixed values of the WARC 1.1 format.
@@ -168,7 +168,7 @@ def referred(pages: DataFrame, params: WarcParams) -> DataFrame:
     the join of the others splits skewed keys.
     """
     size = F.coalesce(F.octet_length("html"), F.lit(0))
-    keyed = pages.select(
+    keyed = small_batches(pages).select(
         F.col("page_id").cast("long").alias("page_id"), "url", "html",
         F.when(size >= params.min_bytes, F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))).alias("sha"),
     )
