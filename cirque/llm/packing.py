@@ -25,7 +25,7 @@ from .sharding import ranked
 #: ASCII punctuation but the apostrophe, which begins contractions.
 TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Chunks that a worker remembers at most, from task to task (about 200 bytes each).
-CACHE = 350_000
+CACHE = 600_000
 HOT = 8192
 #: Texts whose new chunks are learnt together.
 TOGETHER = 200
