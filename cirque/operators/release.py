@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..config import PraParams
 from ..model import GridMeta
@@ -28,3 +28,20 @@ def release_areas(cells: DataFrame, dem: str, forest: str | None, meta: GridMeta
     whole, binary = fuzzy(F.col("_s"), F.col("_w"), F.col("_f"), p.threshold)
     d = d.withColumns({"pra_continuous": whole, "pra_binary": binary}).drop("_s", "_w", "_f")
     return sieve(d, "pra_binary", meta.cols, p.sieve_cells + 1, True, "pra")
+
+
+def split_release(cells: DataFrame, release: str, pieces: int) -> DataFrame:
+    """(row, col, piece) of the release cells: bands of whole columns, each closed at the first column where it holds
+    its share of all release cells; the last piece takes the rest. Only counts per column come to the driver."""
+    if pieces < 1:
+        raise ValueError("pieces must be at least 1")
+    hot = cells.where(F.col(release) > 0).select("row", "col")
+    counts = hot.groupBy("col").agg(F.count("*").alias("n")).orderBy("col").collect()  # at most one row per column
+    share, held, piece, of = sum(r["n"] for r in counts) / pieces, 0, 0, []
+    for r in counts:
+        if held >= share and piece < pieces - 1:
+            held, piece = 0, piece + 1
+        held += r["n"]
+        of.append((r["col"], piece))
+    bands = cells.sparkSession.createDataFrame(of, T.StructType([T.StructField("col", T.IntegerType()), T.StructField("piece", T.IntegerType())]))
+    return hot.join(F.broadcast(bands), "col").select("row", "col", "piece")  # bands: as many rows as columns

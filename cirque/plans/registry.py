@@ -5,13 +5,18 @@ The grid is derived from `part` (sources.grids.derived); doubles are rounded at
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import ClassifyParams, FlowParams, PraParams
 from ..functions import scalars as S
 from ..operators import classify as C
 from ..operators import compare, focal, forecast, local, release, route, runout, tiles, zonal
+from ..session import scratch_dir
 from ..sources import files, grids
+from . import terrain
 
 P = ClassifyParams()
 Q: dict = {}
@@ -362,7 +367,11 @@ def classify(spark, sf):
     return C.classify(d, m, ClassifyParams(isl_size_m2=1500)).select("row", "col", "merge_all", "exposure")
 
 
-@query()
+@query(f"""WITH RECURSIVE w(k, s, x, y, d) AS (SELECT c_custkey, 32::BIGINT, CAST(c_custkey % 64 AS BIGINT), CAST(c_custkey // 64 AS BIGINT), 0::BIGINT FROM customer WHERE c_custkey < 4096 UNION ALL {_STEP}),
+ t AS (SELECT d + 1365 AS id, k % 7 AS body FROM w WHERE s = 0), o AS (SELECT body, row_number() OVER (ORDER BY min(id)) - 1 AS place FROM t GROUP BY 1),
+ n AS (SELECT *, CASE WHEN lag(body) OVER v = body AND lag(id) OVER v = id - 1 THEN 0 ELSE 1 END AS nw FROM t WINDOW v AS (ORDER BY id)),
+ r AS (SELECT *, sum(nw) OVER (ORDER BY id) AS r FROM n)
+ SELECT min(id) AS first_id, count(*) AS run, CAST(any_value(place) AS BIGINT) AS "offset", CAST(1 AS BIGINT) AS length FROM r JOIN o USING (body) GROUP BY r""")
 def pmtiles_directory(spark, sf):
     k = F.col("c_custkey")
     t = spark.read.parquet(f"{sf}/customer.parquet").where(k < 4096).select(F.lit(6).alias("z"), F.expr("c_custkey % 64").cast("int").alias("x"), F.expr("c_custkey div 64").cast("int").alias("y"), (k % 7).cast("string").alias("body"))
@@ -431,6 +440,68 @@ def overview(spark, sf):
     return overviews(_grid(spark, sf)[0], 1).select("row", "col", (F.col("row") % 2).alias("parity"))
 
 
+@query(f"WITH RECURSIVE {G}, {BLOCK}, " + _REACH.format(w=50, t="pt", v="v", also="AND a.v<>0", alone="AND v<>0") + ", s AS (SELECT root, count(*) AS c FROM comp GROUP BY 1) SELECT CAST(dense_rank() OVER (ORDER BY root) AS INTEGER) AS label, c AS cells FROM s")
+def component_sizes(spark, sf):
+    cells, m = _grid(spark, sf)
+    n = zonal.numbered(zonal.label(_blocks(cells), "v", m.cols, tile=16))
+    return n.where("label > 0").groupBy("label").agg(F.count("*").alias("cells"))
+
+
+_P = 7
+
+
+@query(f"""WITH RECURSIVE {G}, n AS (SELECT col, count(*) AS n FROM g WHERE pra = 1 AND col % 3 <> 1 GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY col) AS k FROM n), t AS (SELECT sum(n) / {_P} AS share FROM n),
+ w(k, piece, held) AS (SELECT k, 0, n FROM k WHERE k = 1 UNION ALL SELECT k.k, CASE WHEN held >= share AND piece < {_P - 1} THEN piece + 1 ELSE piece END, CASE WHEN held >= share AND piece < {_P - 1} THEN n ELSE held + n END FROM w JOIN k ON k.k = w.k + 1, t)
+ SELECT g.row, g.col, piece FROM g JOIN k USING (col) JOIN w USING (k) WHERE pra = 1""")
+def release_pieces(spark, sf):
+    cells, _ = _grid(spark, sf)
+    return release.split_release(cells.withColumn("start", F.when(F.col("col") % 3 != 1, F.col("pra")).otherwise(0)), "start", _P)
+
+
+@query(f"WITH {G} SELECT row, col, CASE WHEN col < 20 OR (col < 30 AND row % 3 = 0) THEN dem + 1 WHEN row % 3 <> 0 THEN dem END AS dem FROM g")
+def mosaic(spark, sf):
+    cells, m = _grid(spark, sf)
+    root, d = f"{scratch_dir(spark)}/mosaic-{uuid.uuid4().hex}", cells.select("grid_id", "row", "col", "dem")
+    west = d.where("col < 30").withColumn("dem", F.col("dem") + 1)
+    east = d.where("col >= 20").withColumns({"col": F.col("col") - 20, "dem": F.when(F.col("row") % 3 != 0, F.col("dem"))})
+    grids.write_grid(west, f"{root}/w", replace(m, cols=30))
+    grids.write_grid(east, f"{root}/e", replace(m, x0=m.x0 + 20 * m.dx, cols=m.cols - 20))
+    return grids.mosaic(spark, f"{root}/{{tile}}", ["w", "e"])[0].select("row", "col", F.col("dem").cast("double").alias("dem"))
+
+
+@query(f"""WITH {G}, {ROUTES}, a AS (SELECT route_id, stretch, length, CAST(floor((CASE WHEN dem IS NOT NULL THEN CAST(dem AS INTEGER) % 360 END + 22.5) / 45) AS INTEGER) % 8 AS s FROM st),
+ l AS (SELECT route_id, stretch, s, sum(length) AS m FROM a WHERE s IS NOT NULL GROUP BY 1, 2, 3), b AS (SELECT route_id, stretch, s FROM l QUALIFY row_number() OVER (PARTITION BY route_id, stretch ORDER BY round(m, 6) DESC, s DESC) = 1)
+ SELECT route_id, CAST(stretch AS BIGINT) AS stretch, ['N','NE','E','SE','S','SW','W','NW'][1 + s] AS dominant_aspect FROM (SELECT DISTINCT route_id, stretch FROM st) LEFT JOIN b USING (route_id, stretch)""")
+def dominant_aspects(spark, sf):
+    cells, m = _grid(spark, sf)
+    layers = cells.select("grid_id", "row", "col", F.col("patch").alias("exposure"), (F.col("dem").cast("int") % 360).cast("double").alias("aspect"))
+    return route.evaluate(grids.routes(spark, sf), layers, m).select("route_id", "stretch", "dominant_aspect")
+
+
+@query(f"WITH {G}, {ROUTES} SELECT round(sum(CASE WHEN stretch % 3 <> 0 THEN length ELSE 0 END), 1) AS no_zone_m FROM st")
+def no_zone_metres(spark, sf):
+    s = _stretches(spark, sf)
+    zones = s.where("stretch % 3 = 0").select("route_id", "stretch", F.concat(F.lit("z"), F.col("stretch") % 2).alias("zone_id"))
+    f = spark.createDataFrame([("z0", "f0"), ("z1", "f1")], "zone_id string, forecast_id string")
+    return forecast.no_zone_m(forecast.annotate(s, zones, f))
+
+
+@query(f"WITH {G} SELECT row, col, 10 * (col + 0.5::DOUBLE) AS x, 10 * (nr - row - 0.5::DOUBLE) AS y FROM g, d WHERE row BETWEEN 1 AND nr - 2")
+def cell_centres(spark, sf):
+    cells, m = _grid(spark, sf)
+    x, y = m.dx * (F.col("col") + 0.5) + m.x0, m.y0 - m.dy * (F.col("row") + 0.5)
+    p = cells.where(F.col("row").between(1, m.rows - 2)).select(x.alias("x"), y.alias("y"))
+    row, col = route.cell_of(F.col("x"), F.col("y"), m)
+    return p.select(row.alias("row"), col.alias("col"), "x", "y")
+
+
+@query(f"{BASE}, {SMOOTH} SELECT CAST(row - 1 AS INTEGER) AS row, CAST(col - 1 AS INTEGER) AS col, round(CAST(slope AS DOUBLE), 4) AS slope, slope_class FROM cl JOIN sl USING (row, col), d WHERE row BETWEEN 1 AND nr - 2 AND col BETWEEN 1 AND nc - 2")
+def terrain_area(spark, sf):
+    cells, m = _grid(spark, sf)
+    out, _ = terrain.area(cells, m, m.dx, P)
+    return out.select("row", "col", r4("slope").alias("slope"), "slope_class")
+
+
 def queries():
     return dict(Q)
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import json
+from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import utm_forward, utm_inverse
@@ -45,6 +48,46 @@ def read_grid(spark: SparkSession, path: str) -> tuple[DataFrame, GridMeta]:
     return spark.read.parquet(f"{path}/cells").drop("tile_row", "tile_col"), GridMeta(**{k: row[k] for k in GridMeta.__dataclass_fields__})
 
 
+def mosaic(spark: SparkSession, path: str, tiles: list[str]) -> tuple[DataFrame, GridMeta]:
+    """Stored grids as one: `{tile}` in path stands for each name. Rows and columns are moved to the common corner.
+
+    Where tiles overlap the last one with data counts, layer by layer; the extents come from the manifests, so only
+    cells that lie in several tiles are shuffled. A missing tile is an error that names it, and so is one whose
+    cells don't fall on those of the first.
+    """
+    if not tiles:
+        raise ValueError("no tiles given")
+    parts = []
+    for t in tiles:
+        try:
+            parts.append(read_grid(spark, path.replace("{tile}", t)))
+        except AnalysisException as e:
+            raise FileNotFoundError(f"tile {t} is missing: {path.replace('{tile}', t)}") from e
+    one = parts[0][1]
+    x0, y0 = min(m.x0 for _, m in parts), max(m.y0 for _, m in parts)
+    spans = []
+    for t, (_, m) in zip(tiles, parts):
+        r, c = (y0 - m.y0) / one.dy, (m.x0 - x0) / one.dx
+        if (m.dx, m.dy, m.epsg) != (one.dx, one.dy, one.epsg) or max(abs(r - round(r)), abs(c - round(c))) > 1e-6:
+            raise ValueError(f"tile {t} isn't on the cells of tile {tiles[0]}")
+        spans.append((round(r), round(r) + m.rows, round(c), round(c) + m.cols))
+    alone, shared = [], []
+    for k, ((d, _), (r0, _, c0, _)) in enumerate(zip(parts, spans)):
+        d = d.withColumns({"row": (F.col("row") + r0).cast("int"), "col": (F.col("col") + c0).cast("int"), "_k": F.lit(k)})
+        over = F.lit(False)
+        for j, (a, b, c, e) in enumerate(spans):
+            if j != k:
+                over = over | (F.col("row").between(a, b - 1) & F.col("col").between(c, e - 1))
+        alone.append(d.where(~over).drop("_k"))
+        shared.append(d.where(over))
+    layers = [c for c in parts[0][0].columns if c not in ("grid_id", "row", "col")]
+    union = lambda xs: functools.reduce(lambda a, b: a.unionByName(b), xs)
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_k"))).alias(c) for c in layers]
+    both = union(shared).groupBy("row", "col").agg(F.min("grid_id").alias("grid_id"), *last)
+    rows, cols = max(s[1] for s in spans), max(s[3] for s in spans)
+    return union([*alone, both]), replace(one, x0=x0, y0=y0, rows=rows, cols=cols)
+
+
 def read_window(spark: SparkSession, path: str, row0: int, row1: int, col0: int, col1: int, tile: int = 256) -> DataFrame:
     """Rows and columns of a stored grid: tile rows prune partitions, row and col push down to row groups."""
     d = spark.read.parquet(f"{path}/cells")

@@ -1,13 +1,16 @@
 """GeoTIFF round trip, terrain products, stored regions, infrastructure runout."""
 
 import math
+import tomllib
+from dataclasses import asdict, replace
 
+import pytest
 from pyspark.sql import functions as F
 
 from cirque import api, config, model
-from cirque.operators import infrastructure
-from cirque.plans import terrain
-from cirque.sources import geotiff
+from cirque.operators import infrastructure, region, release
+from cirque.plans import manifest, terrain
+from cirque.sources import geotiff, grids
 
 META = model.GridMeta(500000, 4500000, 10, 10, 300, 20, 32613)
 
@@ -47,3 +50,34 @@ def test_infrastructure(spark):
     out = infrastructure.runout_infrastructure(d, "dem", "start", "infra", model.GridMeta(0, 600, 10, 10, 60, 21), config.FlowParams(alpha=25))
     hit = {(r["row"], r["col"]) for r in out.where("backcalculation = 7").collect()}
     assert (2, 10) in hit and (15, 10) in hit and all(r <= 15 for r, _ in hit)
+
+
+def test_mosaic(spark, tmp_path):
+    d = cells(spark)
+    for name, lo, hi in (("a", 0, 200), ("b", 150, 300)):
+        part = d.where(F.col("row").between(lo, hi - 1)).withColumn("row", F.col("row") - lo)
+        part = part.withColumn("dem", F.lit(-1.0).cast("float")) if name == "a" else part
+        grids.write_grid(part, str(tmp_path / name), replace(META, y0=META.y0 - 10 * lo, rows=hi - lo))
+    out, meta = grids.mosaic(spark, str(tmp_path / "{tile}"), ["a", "b"])
+    assert meta == META and out.count() == 6000 and out.where("dem = -1").count() == 150 * 20
+    assert out.select("row", "col", "exposure").exceptAll(d.select("row", "col", "exposure")).isEmpty()
+    with pytest.raises(FileNotFoundError, match="tile c"):
+        grids.mosaic(spark, str(tmp_path / "{tile}"), ["a", "c"])
+    grids.write_grid(d, str(tmp_path / "off"), replace(META, x0=META.x0 + 3))
+    with pytest.raises(ValueError, match="tile off"):
+        grids.mosaic(spark, str(tmp_path / "{tile}"), ["a", "off"])
+
+
+def test_manifest(spark):
+    p = config.Config('schema_version = 1\n[prep]\npad_m = 500\nname = "a \\"b\\""').params()
+    got = tomllib.loads(manifest.manifest("r", cells(spark), META, p, [region.Attempt(500.0, 3, 900.5, False), region.Attempt(1500.0, 3, 900.5, True)], {"dem": 1.5}))
+    assert got["attempts"][1] == {"pad_m": 1500.0, "release_cells": 3, "max_runout_m": 900.5, "sufficient": True} and got["sufficient_pad"]
+    assert got["classify"] == asdict(p.classify) and got["prep"] == {"pad_m": 500, "name": 'a "b"'} and got["grid"]["rows"] == 300
+    assert got["class_cells"]["nodata"] == 858 and sum(got["class_cells"].values()) == 6000 and got["timings_s"] == {"dem": 1.5}
+
+
+def test_split_release(spark):
+    d = cells(spark).withColumn("start", F.when(F.col("row") < F.col("col"), 1).otherwise(0))
+    got = release.split_release(d, "start", 4)
+    assert got.count() == d.where("start = 1").count() == 190 and [r["n"] for r in got.groupBy("piece").agg(F.count("*").alias("n")).orderBy("piece").collect()] == [55, 50, 48, 37]
+    assert release.split_release(d.where("row > col"), "start", 4).count() == 0 and release.split_release(d, "start", 1).agg(F.max("piece")).first()[0] == 0
