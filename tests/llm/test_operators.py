@@ -475,3 +475,66 @@ def test_warc_matches_sql(spark):
         cols = sorted(a.columns)
         rows = lambda d: sorted(map(repr, d[cols].astype(object).where(d[cols].notna(), None).values.tolist()))  # noqa: B023, E731
         assert cols == sorted(b.columns) and rows(a) == rows(b)
+
+
+def test_pipeline_is_brute_force(spark, monkeypatch, tmp_path):
+    """run() on a fixture (short documents of the smallest tables, and planted cases) against each stage done plainly on its own input."""
+    base = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 2500").collect()
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    top = max(r["doc_id"] for r in base) + 1
+    passage, near = prose(68, 4321), prose(300, 4322)
+    extra = [prose(40, 80 + k) + " " + passage + " " + prose(40, 90 + k) for k in range(3)] + [near, near.replace(near.split(" ")[100], "changed"), prose(40, 70) + " " + items[0][1] + ". " + prose(40, 71)]
+    rows = [tuple(r) for r in base] + [(top + k, t, "en", "planted", len(t)) for k, t in enumerate(extra)]
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    spark.createDataFrame([dict(zip(base[0].__fields__, r)) for r in rows], DOCS).select(*names).write.parquet(str(tmp_path / "documents.parquet"))
+    for t in ("labels", "benchmark"):
+        os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    sf, seen = str(tmp_path), [("documents", spark.read.parquet(str(tmp_path / "documents.parquet")).collect())]
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    field = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    real = corpus_pipeline.materialise
+    monkeypatch.setattr(corpus_pipeline, "materialise", lambda df, name: (out := real(df, name), seen.append((name, out.collect())))[0])
+    packed = corpus_pipeline.run(spark, sf).collect()
+    tables = [{r["doc_id"]: r["text"] or "" for r in x} for _, x in seen[:5]]
+
+    good = {d for d, t in tables[0].items() if field.score([quality.line_features(t)])[0] >= 0.3}
+    assert set(tables[1]) == good and all(tables[1][d] == tables[0][d] for d in good) and set(range(top, top + 6)) <= good
+
+    gone = slow_line_dedup(tables[1], linededup.LineDedupParams().min_words)
+    units = {d: [u.strip() for u in cut(t) if u.split()] for d, t in tables[1].items()}
+    left = {d: [u for i, u in enumerate(us) if i not in gone[d]] for d, us in units.items()}
+    assert {d: [u.strip() for u in cut(t) if u.split()] for d, t in tables[2].items()} == {d: us for d, us in left.items() if us or not gone[d]}
+    assert passage in tables[2][top] and passage not in tables[2][top + 1] and passage not in tables[2][top + 2]
+
+    p = simhash.SIMILAR_08
+    bits = {d: [x & (1 << 64) - 1 for x in simhash.fingerprint(t, p.words, p.longs)] for d, t in tables[2].items()}
+    ids, linked = sorted(bits), []
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x = [u ^ v for u, v in zip(bits[a], bits[b])]
+            if sum(v.bit_count() for v in x) <= p.distance and any((v >> s & 0xFFFFFFFF).bit_count() <= 2 for v in x for s in (0, 32)):
+                linked.append((a, b))
+    group = reach(ids, linked)
+    assert set(tables[3]) == {d for d in ids if group[d] == d}
+
+    q, dirty = decontaminate.DecontaminationParams(), set()
+    hashed = [w for _, t in items if len(w := decontaminate.word_hashes(b" ".join(decontaminate.normal(t))))]
+    for d, t in tables[3].items():
+        w = decontaminate.word_hashes(b" ".join(decontaminate.normal(t)))
+        grams = [set(decontaminate.gram_hashes(w, min(q.n, len(h))).tolist()) for h in hashed]
+        if any(g & set(decontaminate.gram_hashes(h, min(q.n, len(h))).tolist()) and decontaminate.align(h, w, q)[0] >= q.score for g, h in zip(grams, hashed)):
+            dirty.add(d)
+    assert set(tables[4]) == set(tables[3]) - dirty and top + 5 in dirty
+
+    from tokenizers import Tokenizer
+
+    tokenizer, want = Tokenizer.from_file(packing.default_params().tokenizer), set()
+    for d, t in tables[4].items():
+        i = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        want |= {(d, k, s, len(i[s : s + 2048]), zlib.crc32(i[s : s + 2048].tobytes())) for k, s in enumerate(range(0, len(i), 2048))}
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed} == want and len(packed) == len(want)
+    ends = {}
+    for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 2048
