@@ -6,8 +6,8 @@ fingerprint emits its ball of radius r/2; equal variants meet in one shuffle.
 With one lane as wide as the fingerprint all members of a bucket lie within r of
 each other and a bucket holds at most bits + 1 distinct fingerprints, whatever
 the data: linking each to its successor loses no component. With several lanes
-(long fingerprints, larger distances) a bucket is a candidate group; successors
-are verified by the distance of the whole fingerprints.
+(long fingerprints, larger distances) a bucket is a candidate group; all pairs of
+its members that aren't joined already are compared by the whole fingerprints.
 """
 
 from __future__ import annotations
@@ -111,8 +111,9 @@ def _lanes(params: SimHashParams) -> list:
 def links(prints: DataFrame, params: SimHashParams) -> DataFrame:
     """Distinct fingerprints (f0, .., node) -> (a, b): nodes whose fingerprints are close.
 
-    The balls carry a key and a node only. In a bucket each node is paired with the next one (no pairs of all
-    with all), and the distance of each pair is verified on the whole fingerprints.
+    The balls carry a key and a node only; keys of a single node are left out. In a bucket each node is first paired
+    with the next one, which joins all of a bucket of a single lane. Where a bucket is only a candidate group, all its
+    pairs that these links haven't joined yet are compared too, so near copies aren't compared all with all.
     """
     names = [f"f{k}" for k in range(params.longs)]
     flips = [0] + ([1 << i if i < 63 else -(1 << 63) for i in range(params.lane_bits)] if params.ball else [])
@@ -123,11 +124,23 @@ def links(prints: DataFrame, params: SimHashParams) -> DataFrame:
         .select(F.col("lane").bitwiseXOR(F.col("flip")).alias("key"), "node")
     )
     w = Window.partitionBy("key").orderBy("node")
-    pairs = balls.select(F.lag("node").over(w).alias("a"), F.col("node").alias("b")).where("a is not null").distinct()
+    met = balls.select("key", "node", F.lag("node").over(w).alias("last"), F.lead("node").over(w).alias("next"))
     left = prints.select(F.col("node").alias("a"), *[F.col(n).alias(f"a{n}") for n in names])
     right = prints.select(F.col("node").alias("b"), *[F.col(n).alias(f"b{n}") for n in names])
     distance = sum((F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}"))) for n in names), F.lit(0))
-    return pairs.join(left, "a").join(right, "b").where(distance <= params.distance).select("a", "b")
+    single = params.longs == 1 and params.lane_bits == 64
+    if not single:
+        met = materialise(met.where("last is not null or next is not null"), "simhash-met")
+    pairs = met.where("last is not null").select(F.col("last").alias("a"), F.col("node").alias("b")).distinct()
+    near = pairs.join(left, "a").join(right, "b").where(distance <= params.distance).select("a", "b")
+    if single:
+        return near
+    near = materialise(near, "simhash-near")
+    crowded = met.groupBy("key").count().where("count > 2").select("key")
+    rest = met.join(crowded, "key", "left_semi").select("key", "node").join(components(near), "node", "left").withColumn("group", F.coalesce("component", "node"))
+    side = lambda x: rest.join(left if x == "a" else right, rest.node == F.col(x)).select("key", F.col("group").alias(f"{x}group"), x, *[f"{x}{n}" for n in names])
+    more = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("agroup") != F.col("bgroup")) & (distance <= params.distance))
+    return near.unionByName(more.select("a", "b").distinct())
 
 
 def near_duplicates(docs: DataFrame, params: SimHashParams = CONTRACT) -> DataFrame:

@@ -120,6 +120,21 @@ def test_near_copies_at_08_are_found_and_others_left(spark):
     assert all(2 * k in kept for k in range(40)) and sum(2 * k + 1 in kept for k in range(40)) <= 1
 
 
+def test_crowded_lanes_lose_no_pair(spark):
+    """Strangers between two near copies in a bucket, a long bucket of strangers, and bridges between groups."""
+    r, p, lane = random.Random(8), simhash.SIMILAR_08, 0x1234ABCD
+    wide = lambda bits: [x - (1 << 64) if x >> 63 else x for x in (bits >> 64 * k & (1 << 64) - 1 for k in range(p.longs))]
+    prints = {k: r.getrandbits(320) >> 32 << 32 | lane for k in range(60)}
+    for k in range(0, 60, 3):
+        prints[100 + k] = prints[k] ^ sum(1 << b for b in r.sample(range(32, 320), 50))
+        prints[200 + k] = prints[100 + k] ^ sum(1 << b for b in r.sample(range(32, 320), 50)) ^ 1 << r.randrange(32)
+    d = spark.createDataFrame([(*wide(x), k) for k, x in prints.items()], ", ".join(f"f{k} long" for k in range(p.longs)) + ", node long")
+    want = reach(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= p.distance])
+    assert sum(want[k] != k for k in want) == 40
+    got = {x["node"]: x["component"] for x in components(simhash.links(d, p)).collect()}
+    assert {k: got.get(k, k) for k in prints} == want
+
+
 def test_simhash_odd(spark):
     d = odd_docs(spark)
     out = simhash.near_duplicates(d).collect()
