@@ -12,7 +12,7 @@ its members that aren't joined already are compared by the whole fingerprints.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,13 +30,15 @@ CHUNK = 1 << 16
 class SimHashParams:
     """words: of a shingle. longs: 64-bit parts of a fingerprint. lane_bits: 64, or 32 for
     candidate lanes. ball: flipped bits in each lane (half the lane's radius). distance: of
-    the whole fingerprints at most."""
+    the whole fingerprints at most. similarity: of the two sets of shingles (Jaccard) at least,
+    verified on the sets themselves; 0 leaves it at the distance."""
 
     words: int = 3
     longs: int = 1
     lane_bits: int = 64
     ball: int = 1
     distance: int = 2
+    similarity: float = 0.0
 
     def __post_init__(self):
         if self.lane_bits not in (32, 64) or self.ball not in (0, 1) or self.longs < 1 or self.words < 1:
@@ -50,7 +52,7 @@ CONTRACT = SimHashParams()
 #: Five words and a similarity of 0.8: fingerprints of 320 bits in ten lanes. Sets of similarity 0.8
 #: have a cosine of 8/9, so each bit differs with probability acos(8/9)/pi = 0.15, 48 bits of 320
 #: (deviation 6); unrelated texts differ in 160 (deviation 9).
-SIMILAR_08 = SimHashParams(words=5, longs=5, lane_bits=32, ball=1, distance=60)
+SIMILAR_08 = SimHashParams(words=5, longs=5, lane_bits=32, ball=1, distance=60, similarity=0.8)
 
 
 def _mix(h: np.ndarray, k: int) -> np.ndarray:
@@ -64,39 +66,87 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint(text: str | None, words: int = 3, longs: int = 1) -> list[int]:
-    """Signed 64-bit parts. Bytes are split on the six ASCII spaces and only A-Z is lower-cased."""
+def shingles(text: str | None, words: int = 3) -> np.ndarray:
+    """A 64-bit hash of each shingle. Bytes are split on the six ASCII spaces and only A-Z is lower-cased."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return [0] * longs
+        return np.zeros(0, np.uint64)
     flat = b" ".join(w)
     starts = np.concatenate(([0], np.flatnonzero(np.frombuffer(flat, np.uint8) == 32) + 1))
     ends = np.append(starts[1:] - 1, len(flat))
     n = max(1, len(w) - words + 1)
     first, last = starts[:n], ends[min(words, len(w)) - 1 :][:n]
-    ones, digest = np.zeros((longs, 64), np.int64), xxhash.xxh64_intdigest
+    out, digest = np.empty(n, np.uint64), xxhash.xxh64_intdigest
     for at in range(0, n, CHUNK):
         a, b = first[at : at + CHUNK].tolist(), last[at : at + CHUNK].tolist()
-        h = np.fromiter((digest(flat[i:j], 42) for i, j in zip(a, b)), np.uint64, len(a))
+        out[at : at + CHUNK] = np.fromiter((digest(flat[i:j], 42) for i, j in zip(a, b)), np.uint64, len(a))
+    return out
+
+
+def _print(hashes: np.ndarray, longs: int) -> list[int]:
+    """Signed 64-bit parts: each bit by majority of the shingles."""
+    n, ones = len(hashes), np.zeros((longs, 64), np.int64)
+    for at in range(0, n, CHUNK):
+        h = hashes[at : at + CHUNK]
         for k in range(longs):
             bits = np.unpackbits(np.ascontiguousarray(_mix(h, k)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones[k] += bits.sum(axis=0, dtype=np.uint32)
     return np.packbits((2 * ones > n).astype(np.uint8), axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
+def fingerprint(text: str | None, words: int = 3, longs: int = 1) -> list[int]:
+    return _print(shingles(text, words), longs)
+
+
+def _same(unique: np.ndarray) -> int:
+    """One signed hash of a sorted set: equal sets, equal hashes."""
+    h = xxhash.xxh3_64_intdigest(unique.tobytes())
+    return h - (1 << 64) if h >> 63 else h
+
+
 def fingerprints(docs: DataFrame, params: SimHashParams) -> DataFrame:
-    """(doc_id, f0, ..): no other column is read."""
+    """(doc_id, f0, .., same): no other column is read. same is a hash of the set of shingles, 0 if none is verified."""
     names = [f"f{k}" for k in range(params.longs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            f = np.array([fingerprint(t, params.words, params.longs) for t in b.column(1).to_pylist()], np.int64).reshape(-1, params.longs)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k]) for k in range(params.longs))], ["doc_id", *names])
-
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ["doc_id", *names]])
+            f = np.zeros((b.num_rows, params.longs + 1), np.int64)
+            for row, t in zip(f, b.column(1).to_pylist()):
+                h = shingles(t, params.words)
+                row[:-1] = _print(h, params.longs)
+                row[-1] = _same(np.unique(h)) if params.similarity else 0
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k]) for k in range(params.longs + 1))], ["doc_id", *names, "same"])
+
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ["doc_id", *names, "same"]])
     return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, schema)
 
 
+def verified(near: DataFrame, docs: DataFrame, distinct: DataFrame, params: SimHashParams) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have the similarity. Only the sets of nodes in a pair are made."""
+    nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = distinct.join(nodes, "node", "left_semi").select("node", "same")
+    few = small_batches(docs).select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            sets = [np.unique(shingles(t, params.words)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_same(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "same", "hashes"])
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            ok = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= params.similarity * (len(x) + len(y) - both))
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    # a node's rows: its own set only, once, where a doc_id comes with several texts
+    sets = materialise(few.mapInArrow(run, "node long, same long, hashes binary").join(wanted, ["node", "same"], "left_semi").dropDuplicates(["node", "same"]), "simhash-sets")
+    left, right = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"{x}set")) for x in "ab")
+    return near.join(left, "a").join(right, "b").select("a", "b", "aset", "bset").mapInArrow(least, "a long, b long").distinct()
+
+
 def _lanes(params: SimHashParams) -> list:
     """(lane key without flips) for each lane."""
     if params.lane_bits == 64:
@@ -108,12 +158,13 @@ def _lanes(params: SimHashParams) -> list:
     ]
 
 
-def links(prints: DataFrame, params: SimHashParams) -> DataFrame:
+def links(prints: DataFrame, params: SimHashParams, verify: Callable[[DataFrame], DataFrame] = lambda near: near) -> DataFrame:
     """Distinct fingerprints (f0, .., node) -> (a, b): nodes whose fingerprints are close.
 
     The balls carry a key and a node only; keys of a single node are left out. In a bucket each node is first paired
     with the next one, which joins all of a bucket of a single lane. Where a bucket is only a candidate group, all its
     pairs that these links haven't joined yet are compared too, so near copies aren't compared all with all.
+    verify keeps those of the close pairs that are links.
     """
     names = [f"f{k}" for k in range(params.longs)]
     flips = [0] + ([1 << i if i < 63 else -(1 << 63) for i in range(params.lane_bits)] if params.ball else [])
@@ -135,12 +186,13 @@ def links(prints: DataFrame, params: SimHashParams) -> DataFrame:
     near = pairs.join(left, "a").join(right, "b").where(distance <= params.distance).select("a", "b")
     if single:
         return near
-    near = materialise(near, "simhash-near")
+    near = materialise(verify(near), "simhash-near")
     crowded = met.groupBy("key").count().where("count > 2").select("key")
     rest = met.join(crowded, "key", "left_semi").select("key", "node").join(components(near), "node", "left").withColumn("group", F.coalesce("component", "node"))
     side = lambda x: rest.join(left if x == "a" else right, rest.node == F.col(x)).select("key", F.col("group").alias(f"{x}group"), x, *[f"{x}{n}" for n in names])
     more = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("agroup") != F.col("bgroup")) & (distance <= params.distance))
-    return near.unionByName(more.select("a", "b").distinct())
+    tried = pairs.select("a", "b")
+    return near.unionByName(verify(materialise(more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "simhash-more")))
 
 
 def near_duplicates(docs: DataFrame, params: SimHashParams = CONTRACT) -> DataFrame:
@@ -150,12 +202,14 @@ def near_duplicates(docs: DataFrame, params: SimHashParams = CONTRACT) -> DataFr
     fingerprint zero and is linked like any other; a null doc_id keeps its row, with
     itself (null) as component unless its fingerprint's group has an id. Repeated rows stay.
     """
-    names = [f"f{k}" for k in range(params.longs)]
+    names = [*(f"f{k}" for k in range(params.longs)), "same"]
     prints = materialise(fingerprints(docs, params), "simhash")
     distinct = materialise(prints.groupBy(*names).agg(F.min("doc_id").alias("node")), "simhash-distinct")
-    found = components(links(distinct.where("node is not null"), params))
+    known = distinct.where("node is not null")
+    verify = (lambda near: verified(near, docs, known, params)) if params.similarity else (lambda near: near)
+    found = components(links(known, params, verify))
     group = distinct.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(group, names).select("doc_id", *names, "component_id")
+    return prints.join(group, names).select("doc_id", *names[:-1], "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,6 +135,34 @@ def test_crowded_lanes_lose_no_pair(spark):
     assert {k: got.get(k, k) for k in prints} == want
 
 
+def jaccard(a, b):
+    a, b = (set(zip(*(t.lower().split()[k:] for k in range(5)))) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_links_only_similar_texts(spark):
+    """A family that shares a template, against the true similarity of five words: at 0.7 and below all stay, copies go."""
+    r, texts = random.Random(12), {}
+    for k in range(120):
+        share = (230, 250, 262)[k % 3]
+        texts[k] = prose(share, 9000 + k % 3) + " " + prose(300 - share, 9100 + k)
+    for k in range(0, 120, 4):
+        w = texts[k].split(" ")
+        w[r.randrange(len(w))] = "changed"
+        texts[500 + k] = " ".join(w)
+    pump = "all of it again and " * 300
+    texts.update({800: pump + prose(40, 31), 801: pump + prose(40, 32)})
+    linked = [(a, b) for a in texts for b in texts if a < b and jaccard(texts[a], texts[b]) >= 0.8]
+    want = reach(texts, linked)
+    prints = {k: simhash.fingerprint(t, 5, 5) for k, t in texts.items()}
+    close = {(a, b) for a in texts for b in texts if a < b and sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(prints[a], prints[b])) <= 60}
+    assert len(close) > 2 * len(linked) and (800, 801) in close
+    d = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in texts.items()], DOCS)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(d, simhash.SIMILAR_08).collect()}
+    assert all(want[k] == want[c] for k, c in got.items()) and all(got[500 + k] == got[k] for k in range(0, 120, 4))
+    assert got[800] == 800 and got[801] == 801
+
+
 def test_simhash_odd(spark):
     d = odd_docs(spark)
     out = simhash.near_duplicates(d).collect()
