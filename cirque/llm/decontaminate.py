@@ -1,15 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The n-grams of the test items are looked up in all documents: a first pass counts
-in how many documents each occurs, and those that are common in the corpus (more
-than the item's rarer half and above a floor) are dropped as seeds. A second pass
-finds the seeds in each document, clusters them by item and diagonal, and aligns
-the item to the passage around a cluster by words; the score is the alignment's
-share of what a full match would give, so edited and paraphrased copies count.
+One pass finds the n-grams of the test items in each document, clusters them by item
+and diagonal, and aligns the item to the passage around a cluster by words; the score
+is the alignment's share of what a full match would give, so edited and paraphrased
+copies count. Every n-gram is a seed, however common: a passage is only left unaligned
+if too few of the item's words occur in it for the score, which is exact.
 
 Benchmarks are small and their size is checked: seeds are broadcast in blocks of
 at most `block` n-grams (one pass over the documents per block), so a benchmark of
-any size runs. Nothing of the corpus is shuffled but the counts of those n-grams.
+any size runs. Nothing of the corpus is shuffled.
 """
 
 from __future__ import annotations
@@ -30,8 +29,8 @@ TABLE_BITS = 20
 
 @dataclass(frozen=True)
 class DecontaminationParams:
-    """n: words of a seed. rare: an n-gram in at most so many documents is always a seed; above,
-    only if it is among the rarer half of its item. score: contaminated from this share of a full
+    """n: words of a seed. rare: of no effect, n-grams are seeds in however many documents they are;
+    kept for callers that give it. score: contaminated from this share of a full
     alignment. match, mismatch, gap: of words. block: n-grams per broadcast."""
 
     n: int = 4
@@ -169,30 +168,9 @@ def _block(docs: DataFrame, block: list[tuple[int, str]], p: DecontaminationPara
     grams = [gram_hashes(w, n) for w, n in zip(words, sizes)]
     lengths = sorted(set(sizes))
     thin = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keys = {n: np.unique(np.concatenate([g for g, s in zip(grams, sizes) if s == n])) for n in lengths}
-    shared_keys = spark.sparkContext.broadcast(keys)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        looks = {n: Lookup(k) for n, k in shared_keys.value.items()}
-        tally = {n: np.zeros(len(k), np.int64) for n, k in shared_keys.value.items()}
-        for b in slices(batches):
-            for t in b.column(0).to_pylist():
-                w = word_hashes(b" ".join(normal(t)))
-                for n, look in looks.items():
-                    tally[n][np.unique(look.find(gram_hashes(w, n))[1])] += 1
-        for n, c in tally.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n)), pa.array(at), pa.array(c[at])], ["n", "k", "df"])
-
-    counted = thin.select("text").mapInArrow(count, "n long, k long, df long").groupBy("n", "k").agg(F.sum("df").alias("df"))
-    df = {n: np.zeros(len(k), np.int64) for n, k in keys.items()}
-    for r in counted.collect():  # at most one row for each n-gram of the block
-        df[r["n"]][r["k"]] = r["df"]
     seeds: dict[int, list] = {n: [] for n in lengths}
     for item, (g, n) in enumerate(zip(grams, sizes)):
-        f = df[n][np.searchsorted(keys[n], g)]
-        good = (f <= p.rare) | (f <= np.median(f))
-        seeds[n] += [(int(h), item, int(at)) for at, (h, ok) in enumerate(zip(g, good)) if ok]
+        seeds[n] += [(int(h), item, at) for at, h in enumerate(g)]
     pack = {}
     for n, rows in seeds.items():
         rows.sort()
@@ -215,11 +193,16 @@ def _block(docs: DataFrame, block: list[tuple[int, str]], p: DecontaminationPara
                     for x, j in zip(at.tolist(), k.tolist()):
                         for y in range(first[j], end[j]):
                             hits.setdefault(int(item[y]), []).append(x - int(place[y]))  # where the item would start
+                known = np.unique(w) if hits else w
                 for item, starts in hits.items():
                     size, best = len(words[item]), (0.0, 0, 0)
+                    if not _can_score(words[item], known, p):
+                        continue
                     slack = size // 2 + 2
                     for lo, hi in _clusters(sorted(starts), slack):
                         a, z = max(0, lo - slack), min(len(w), hi + size + slack)
+                        if not _can_score(words[item], np.unique(w[a:z]), p):
+                            continue
                         score, s, e = align(words[item], w[a:z], p)
                         best = max(best, (score, -(a + s), a + e))
                     if best[0] >= p.score:
@@ -231,6 +214,15 @@ def _block(docs: DataFrame, block: list[tuple[int, str]], p: DecontaminationPara
     return thin.mapInArrow(scan, "doc_id long, item_id long, score double, start int, end int, n_words int")
 
 
+def _can_score(item: np.ndarray, known: np.ndarray, p: DecontaminationParams) -> bool:
+    """Whether so many of the item's words are among a passage's (sorted) that an alignment may reach the score: it
+    matches no other words, and mismatches and gaps add nothing."""
+    if max(p.mismatch, p.gap) > 0:
+        return True
+    found = known[np.minimum(np.searchsorted(known, item), len(known) - 1)] == item
+    return int(found.sum()) / len(item) >= p.score
+
+
 def _clusters(starts: list[int], slack: int) -> list[tuple[int, int]]:
     out = [[starts[0], starts[0]]]
     for x in starts[1:]:

@@ -391,6 +391,29 @@ def test_decontamination_finds_edited_copies(spark):
     assert decontaminate.contaminated(hit, b).count() == 3
 
 
+def test_common_seeds_find_edited_copies(spark):
+    """Copies whose only intact n-grams are the item's common ones, with a small `rare`, against brute force."""
+    p, items = decontaminate.DecontaminationParams(rare=1), {k: prose(20, 5000 + k).split(" ")[:20] for k in range(3)}
+    items[3] = items[0][:11] + prose(9, 5100).split(" ")[:9]
+    docs = {}
+    for k in range(12):
+        w = items[k % 3]
+        docs[k] = prose(30, 5200 + k) + " " + " ".join([*w[:11], "edited", *w[12:14], "and", "other"]) + " " + prose(30, 5300 + k)
+        docs[100 + k] = prose(30, 5400 + k) + " " + " ".join(w[:11]) + " " + prose(30, 5500 + k)
+    want = set()
+    for d, t in docs.items():
+        w = decontaminate.normal(t)
+        for i, x in items.items():
+            x = decontaminate.normal(" ".join(x))
+            shared = {tuple(x[j : j + 4]) for j in range(len(x) - 3)} & {tuple(w[j : j + 4]) for j in range(len(w) - 3)}
+            if shared and slow_align(x, w) >= p.score:
+                want.add((d, i))
+    assert {(k, k % 3) for k in range(12)} <= want
+    b = spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string")
+    d = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in docs.items()], DOCS)
+    assert {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(d, b, p).collect()} == want
+
+
 def test_word_hashes_are_by_word():
     words = [w.encode() for w in VOCAB[:500]] * 2
     h = decontaminate.word_hashes(b" ".join(words))
