@@ -378,6 +378,15 @@ def pmtiles_directory(spark, sf):
     return tiles.directory(t, "body").select("first_id", "run", "offset", "length")
 
 
+@query()
+def pmtiles_directory_whole(spark, sf):
+    """Every customer on a tile of zoom 20: squares of 4096 as in pmtiles_directory, side by side, 16384 in a row."""
+    k = F.col("c_custkey")
+    x, y = F.expr("c_custkey % 64 + 64 * (c_custkey div 4096 % 16384)"), F.expr("c_custkey % 4096 div 64 + 64 * (c_custkey div 67108864)")
+    t = spark.read.parquet(f"{sf}/customer.parquet").select(F.lit(20).alias("z"), x.cast("int").alias("x"), y.cast("int").alias("y"), (k % 7).cast("string").alias("body"))
+    return tiles.directory(t, "body").select("first_id", "run", "offset", "length")
+
+
 @query(f"WITH {G} SELECT row, col, CASE WHEN dem > 1800 AND slope > 30 AND slope < 35 THEN 1 ELSE 0 END AS start, round(CAST(greatest(0, least(1, forest/100.0)) AS DOUBLE), 6) AS fraction FROM (SELECT *, CAST(forest AS DOUBLE) AS slope FROM g)")
 def release_from_terrain(spark, sf):
     cells, _ = _grid(spark, sf)

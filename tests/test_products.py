@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cirque import api, config, model
-from cirque.operators import infrastructure, region, release
-from cirque.plans import manifest, terrain
+from cirque.operators import infrastructure, region, release, tiles
+from cirque.plans import manifest, registry, terrain
 from cirque.sources import geotiff, grids
 
 META = model.GridMeta(500000, 4500000, 10, 10, 300, 20, 32613)
@@ -81,3 +81,19 @@ def test_split_release(spark):
     got = release.split_release(d, "start", 4)
     assert got.count() == d.where("start = 1").count() == 190 and [r["n"] for r in got.groupBy("piece").agg(F.count("*").alias("n")).orderBy("piece").collect()] == [55, 50, 48, 37]
     assert release.split_release(d.where("row > col"), "start", 4).count() == 0 and release.split_release(d, "start", 1).agg(F.max("piece")).first()[0] == 0
+
+
+def test_directory_of_every_customer(spark):
+    sf = "/root/testdata/sf0.1"
+    keys = [r[0] for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()]
+    body = {tiles.hilbert(20, k % 64 + 64 * (k // 4096 % 16384), k % 4096 // 64 + 64 * (k // 67108864)): k % 7 for k in keys}
+    assert len(body) == len(keys) > 4096
+    place, want = {}, []
+    for i in sorted(body):
+        at = place.setdefault(body[i], len(place))
+        if want and want[-1][0] + want[-1][1] == i and want[-1][2] == at:
+            want[-1][1] += 1
+        else:
+            want.append([i, 1, at, 1])
+    got = [list(r) for r in registry.Q["pmtiles_directory_whole"](spark, sf).orderBy("first_id").collect()]
+    assert got == want and sum(r[1] for r in got) == len(keys)
