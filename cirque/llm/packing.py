@@ -24,6 +24,9 @@ from .sharding import ranked
 
 #: ASCII punctuation but the apostrophe, which begins contractions.
 TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: Kinds of bytes: 1 a-z and 0-9, 2 common marks after a word, 4 ASCII white space.
+KIND = np.zeros(256, np.uint8)
+KIND[list(b"abcdefghijklmnopqrstuvwxyz0123456789")], KIND[list(b".,;:!?)")], KIND[list(b" \t\n\x0b\x0c\r")] = 1, 2, 4
 #: Chunks that a worker remembers at most, from task to task (about 200 bytes each).
 CACHE = 600_000
 HOT = 8192
@@ -44,6 +47,17 @@ class PackParams:
     rounds: int = 400
 
 
+def chunks_of(text: bytes) -> list[bytes]:
+    """The text cut at white space, and before a single mark that stands between a letter or digit and white space
+    (or the end): there the pre-tokenizer always cuts, and words with and without marks are the same chunk."""
+    kind = KIND[np.frombuffer(text, np.uint8)]
+    if len(kind) > 1:
+        at = np.flatnonzero((kind[1:] == 2) & (kind[:-1] == 1) & (np.append(kind[2:], 4) == 4)) + 1
+        if len(at):
+            text = np.insert(np.frombuffer(text, np.uint8), at, 32).tobytes()
+    return text.split()
+
+
 class Encoder:
     """Token ids of a text, by chunk between ASCII spaces; chunks are cached up to a bound.
 
@@ -57,8 +71,21 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.letters, self.others = set("abcdefghijklmnopqrstuvwxyz"), set()
         self.forget()
 
+    def spelt(self, text: str) -> bool:
+        """Whether each character, once normalised, is letters alone to this pre-tokenizer: it ends apart from
+        punctuation after it and joins a letter before it. (Lower case or composition may turn a letter into others.)"""
+        if not self.letters.issuperset(text):
+            for char in set(text) - self.letters - self.others:
+                normal = self.tokenizer.normalizer.normalize_str(char)
+                cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+                letter = bool(normal.strip()) and len(cut("a" + normal)) == 1 and len(cut("a" + normal + ".")) == 2
+                (self.letters if letter else self.others).add(char)
+            return self.letters.issuperset(text)
+        return True
+
     def forget(self) -> None:
         """code of each known chunk; its ids are flat[first[code]:][:size[code]]."""
         self.code: dict[bytes, int] = {}
@@ -90,11 +117,11 @@ class Encoder:
 
     def learn(self, chunks: list[bytes]) -> None:
         """ASCII punctuation (but apostrophes) after a letter is always one pre-token apart from what is before."""
-        core_of = {c: core for c in chunks if (core := c.rstrip(TAIL)) != c and core and core.decode()[-1].isalpha()}
+        core_of = {c: core for c in chunks if (core := c.rstrip(TAIL)) != c and core and self.spelt(core.decode()[-1])}
         alone = {c for c in chunks if c not in core_of}
         alone.update(core_of.values(), (c[len(core) :] for c, core in core_of.items()))
         alone = [c for c in alone if c not in self.code]
-        words = {c for c in alone if c.decode().isalpha()}
+        words = {c for c in alone if self.spelt(c.decode())}
         self.add_words(list(words))
         self.add_each([c for c in alone if c not in words])
         if core_of:
@@ -106,8 +133,9 @@ class Encoder:
         """Ids of UTF-8 texts."""
         if len(self.code) > CACHE:
             self.forget()
-        # the normaliser lower-cases; doing so for A-Z beforehand makes fewer different chunks
-        split = [None if b"<|" in t else t.lower().split() for t in texts]
+        # the normaliser lower-cases; doing so for A-Z beforehand makes fewer different chunks. Not where marks (U+0300 to
+        # U+036F) may follow: some compose with one case of a letter only, and the normaliser composes first
+        split = [None if b"<|" in t else chunks_of(t if b"\xcc" in t or b"\xcd" in t else t.lower()) for t in texts]
         codes = [None if ws is None else self.look(ws) for ws in split]
         misses = [np.zeros(0, np.int64) if c is None else np.flatnonzero(c < 0) for c in codes]
         new = {ws[i] for ws, at in zip(split, misses) for i in at.tolist()}
@@ -258,7 +286,9 @@ def placements(made: list[tuple[tuple[int, ...], int]], capacity: int) -> np.nda
 def pack(docs: DataFrame, params: PackParams) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Repeated rows are packed each. An empty table gives an empty result.
+    Null and empty texts are the separator alone. Repeated rows and rows of null doc_id are packed each; ties in length
+    go by doc_id, then piece. Very long texts are encoded whole and cut after. Only doc_id and text are read, so other
+    columns (of clashing names, too) are no matter. An empty table gives an empty result.
     """
     found = materialise(pieces(docs, params), "pack-pieces")
     bins = found.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most `capacity` rows

@@ -8,6 +8,7 @@ import json
 import os
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -450,6 +451,20 @@ def test_packing_is_a_partition(spark):
     assert packing.pack(none(d), p).count() == 0
 
 
+def test_chunks_give_the_tokenizers_ids():
+    """Letters whose normal form is another kind of character, marks that compose with one case only, marks after words."""
+    enc, r = packing.Encoder(packing.default_params().tokenizer), random.Random(11)
+    plain = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    odd = [c for c in plain if unicodedata.normalize("NFC", c).lower() != c.lower() or len(c.lower()) > 1]
+    marks, near = [chr(c) for c in range(0x300, 0x370)], list("abcJHTWYIis'.,-!?;:)=<>|(2 \n\t\x0b\x1c\x85\xa0 ")
+    texts = [f"a{c}. {c}-2 {c}! x{c}y" for c in [*odd, *r.sample(plain, 4000)]] + ["", ".", " . ", "é. İ. J\u030c. J\u030c, 3. a. \nb,\tc;"]
+    texts += ["".join(r.choice(r.choice((odd, marks, near, near, near, plain))) for _ in range(r.randint(1, 9))) for _ in range(15_000)]
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        want = [x.ids for x in enc.tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert [x.tolist() for x in enc.batch([t.encode() for t in part])] == want
+
+
 def test_plan_places_all():
     rng = np.random.default_rng(1)
     for n in (0, 1, 50, 20_000):
