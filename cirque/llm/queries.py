@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracle
 from .decontaminate import op7_decontaminate
 from .html import op1_html_main_text
 from .linededup import op10_line_dedup
@@ -32,14 +33,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ops}
 
 
-#: Digests in base32 from hexadecimal: 20 bits at a time. The smallest page_id of equal payloads is referred to.
-_WARC = """WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
- q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
- SELECT page_id, payload_bytes, array_to_string(flatten(list_transform(range(8), lambda i: list_transform([15, 10, 5, 0], lambda s:
-   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, CAST(5*i+1 AS BIGINT), 5) AS INTEGER) >> s) & 31), 1)))), '') AS payload_digest,
- CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM q"""
-
-
 def oracle_sql() -> dict[str, str]:
-    """Only op2: the others hash, sketch, train, align or tokenize in ways SQL doesn't; tests hold them to brute force."""
-    return {"op2_warc": _WARC}
+    """The others train, align or tokenize in ways SQL doesn't; tests hold them to brute force."""
+    return {"op2_warc": oracle.WARC, "op4_url_filter": oracle.url_filter()}
