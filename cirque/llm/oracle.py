@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .rules import METRICS, SCALE, SYMBOLS, RuleParams
 from .urls import RULES, TreeParams
 
 #: Digests in base32 from hexadecimal: 20 bits at a time. The smallest page_id of equal payloads is referred to.
@@ -59,3 +60,47 @@ def url_filter(p: TreeParams = TreeParams()) -> str:
     out.append(f"j2 AS (SELECT host, template, leaf, judged, (b + {p.strength}::DOUBLE * p1) / (k + {p.strength}::DOUBLE) AS purity FROM j1)")
     verdict = f"coalesce(says, CASE WHEN judged AND purity >= {p.purity} THEN 'block' ELSE 'allow' END)"
     return "WITH " + ",\n".join(out) + f"\nSELECT page_id, host, path, rule, {verdict} AS verdict, leaf, purity FROM base LEFT JOIN j2 USING (host, template)"
+
+
+def quality_rules(p: RuleParams = RuleParams()) -> str:
+    """Base counts (repeated windows by their words, not by hashes), the sketches as bins, and the fences from these."""
+    space = "[ \\x09-\\x0D]"
+    shares = ", ".join(f"({count} << {SCALE}) // greatest({of}, 1) AS {m}" for m, (count, of) in METRICS.items())
+    metrics = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM c WHERE NOT base_failed" for m in METRICS)
+    out = [
+        f"""d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '{space}+', '', 'g') AS sq,
+ list_filter(regexp_split_to_array(coalesce(text, ''), '{space}+'), lambda x: x <> '') AS w FROM documents)""",
+        "win AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8))",
+        "again AS (SELECT r, unnest(range(i, i + 8)) AS j FROM win JOIN (SELECT r, g FROM win GROUP BY ALL HAVING count(*) > 1) USING (r, g))",
+        "rep AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM again GROUP BY r)",
+        f"""l AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d)
+ WHERE regexp_matches(x, '[^ \\x09-\\x0D]') GROUP BY r)""",
+        f"""c0 AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(sq)::BIGINT AS word_chars, length(t) - length(translate(t, '{SYMBOLS}', ''))::BIGINT AS n_symbols,
+ length(sq) - length(regexp_replace(sq, '\\p{{Lu}}+', '', 'g'))::BIGINT AS n_upper, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+ coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN l USING (r) LEFT JOIN rep USING (r))""",
+        f"c AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {shares} FROM c0)",
+        f"v AS ({metrics})",
+        f"b0 AS (SELECT *, greatest(0, length(bin(v)) - {p.bits}) AS k FROM v)",
+        "bins AS (SELECT lang, source, metric, (((v >> k) + 1) << k) - 1 AS top, count(*) AS n FROM b0 GROUP BY ALL)",
+    ]
+    for name, keys in (("own", "lang, source, metric"), ("lang", "lang, metric"), ("whole", "metric")):
+        out += [
+            f"{name}0 AS (SELECT {keys}, top, sum(n) AS n FROM bins GROUP BY ALL)",
+            f"""{name}1 AS (SELECT {keys}, top, sum(n) OVER (PARTITION BY {keys} ORDER BY top) AS upto, sum(n) OVER (PARTITION BY {keys}) AS total,
+ sum(n * top) OVER (PARTITION BY {keys} ORDER BY top) AS s0, sum(n * top) OVER (PARTITION BY {keys}) AS s, sum(n * top * top) OVER (PARTITION BY {keys})::DOUBLE AS q FROM {name}0)""",
+            f"""{name}2 AS (SELECT *, CASE WHEN upto <= total - {p.few} THEN s0::DOUBLE / upto::DOUBLE - (s - s0)::DOUBLE / (total - upto)::DOUBLE END AS gap FROM {name}1)""",
+            f"""{name}3 AS (SELECT {keys}, max(total)::BIGINT AS n, min(top) FILTER (1000 * upto >= 250 * total) AS q1, min(top) FILTER (1000 * upto >= 750 * total) AS q3,
+ min(top) FILTER (1000 * upto >= {1000 - p.tail} * total) AS far, max(gap * gap * (upto::DOUBLE / total::DOUBLE * (total - upto)::DOUBLE)) AS best, max(q - s::DOUBLE * s::DOUBLE / total::DOUBLE) AS whole
+ FROM {name}2 GROUP BY {keys})""",
+            f"""{name}4 AS (SELECT {', '.join('a.' + k for k in keys.split(', '))}, min(top) AS cut FROM {name}2 a JOIN {name}3 b
+ ON {' AND '.join(f'a.{k} IS NOT DISTINCT FROM b.{k}' for k in keys.split(', '))} WHERE gap * gap * (upto::DOUBLE / total::DOUBLE * (total - upto)::DOUBLE) = best GROUP BY ALL)""",
+            f"""{name} AS (SELECT a.*, CASE WHEN q3 > q1 THEN q3 + {p.spread} * (q3 - q1) WHEN best >= {p.clear}::DOUBLE * whole THEN cut ELSE far END::BIGINT AS fence
+ FROM {name}3 a LEFT JOIN {name}4 b ON {' AND '.join(f'a.{k} IS NOT DISTINCT FROM b.{k}' for k in keys.split(', '))})""",
+        ]
+    out += [
+        f"ld AS (SELECT lang.lang, metric, (lang.n * lang.fence + {p.shrink} * whole.fence) // (lang.n + {p.shrink}) AS fence FROM lang JOIN whole USING (metric))",
+        f"""f AS (SELECT own.lang, own.source, own.metric, (own.n * own.fence + {p.shrink} * ld.fence) // (own.n + {p.shrink}) AS fence
+ FROM own JOIN ld ON own.lang IS NOT DISTINCT FROM ld.lang AND own.metric = ld.metric)""",
+    ]
+    over = " OR ".join(f"{m} > (SELECT any_value(fence) FROM f WHERE f.lang IS NOT DISTINCT FROM c.lang AND f.source IS NOT DISTINCT FROM c.source AND metric = '{m}')" for m in METRICS)
+    return "WITH " + ",\n".join(out) + f"""\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({over}, false) AS kept FROM c"""

@@ -35,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The others train, align or tokenize in ways SQL doesn't; tests hold them to brute force."""
-    return {"op2_warc": oracle.WARC, "op4_url_filter": oracle.url_filter()}
+    return {"op2_warc": oracle.WARC, "op4_url_filter": oracle.url_filter(), "op8_quality_rules": oracle.quality_rules()}
