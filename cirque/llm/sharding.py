@@ -88,7 +88,9 @@ def shard(docs: DataFrame, shards: int) -> DataFrame:
     """(doc_id, size, text_crc32, lang, source, hilbert, shard, slot): law `rows`, counts at most one apart.
 
     Null text: size 16, crc 0 (that of no bytes). Null metadata are values of their own.
-    Repeated rows get places of their own. An empty table gives an empty result.
+    Repeated rows get places of their own; ties on the curve go by doc_id (null first), then by crc. Texts of any length
+    are measured whole. Only doc_id, text, lang and source are read, so other columns are no matter. An empty table
+    gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     thin = docs.select(
@@ -107,6 +109,12 @@ def shard(docs: DataFrame, shards: int) -> DataFrame:
     )
 
 
+def shard_ends(placed: DataFrame) -> DataFrame:
+    """(shard, rows, min_<column>, max_<column>): what a reader skips shards by. One row per shard; nulls aren't counted."""
+    ends = [f(c).alias(f"{n}_{c}") for c in ("lang", "source", "size", "doc_id") for n, f in (("min", F.min), ("max", F.max))]
+    return placed.groupBy("shard").agg(F.count("*").alias("rows"), *ends)
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 40).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert", "lang", "source"

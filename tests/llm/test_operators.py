@@ -191,6 +191,68 @@ def test_shards_law_and_slots(spark):
     assert sharding.shard(none(odd_docs(spark)), 40).count() == 0 and sharding.shard(odd_docs(spark), 40).count() == 11
 
 
+def slow_hilbert(x, bits):
+    """Skilling's axes to index, on Python integers."""
+    x, n, level = list(x), len(x), 1 << bits - 1
+    while level > 1:
+        for i in range(n):
+            if x[i] & level:
+                x[0] ^= level - 1
+            else:
+                t = (x[0] ^ x[i]) & level - 1
+                x[0] ^= t
+                x[i] ^= t
+        level >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t = 0
+    for k in range(bits - 1, 0, -1):
+        if x[n - 1] & 1 << k:
+            t ^= (1 << k) - 1
+    return int("".join(str((v ^ t) >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_shards_are_brute_force(spark):
+    """The whole query: quantised metadata, curve, order, shards and slots, plainly."""
+    docs, got = spark.read.parquet(f"{SF}/documents.parquet").collect(), queries.queries()["op3_hilbert_shards"](spark, SF).collect()
+    size = {r["doc_id"]: len((r["text"] or "").encode()) + 16 for r in docs}
+    crc = {r["doc_id"]: zlib.crc32((r["text"] or "").encode()) for r in docs}
+    cuts = lambda v: [sorted(v)[max(0, math.ceil(len(v) * i / 64) - 1)] for i in range(1, 64)]
+    sizes, ids = cuts(size.values()), cuts(size)
+    hashed = lambda s: 42 % 64 if s is None else xxhash.xxh64_intdigest(s.encode(), 42) % 64
+    key = {}
+    for r in docs:
+        d = r["doc_id"]
+        key[d] = (slow_hilbert((hashed(r["lang"]), hashed(r["source"]), sum(c < size[d] for c in sizes), sum(c < d for c in ids)), sharding.BITS), d)
+    order, n = sorted(key, key=key.get), len(key)
+    want = {}
+    for rank, d in enumerate(order):
+        shard = rank * 40 // n
+        want[d] = (size[d], crc[d], "rows", shard, rank - -(-shard * n // 40), None, key[d][0])
+    assert {r["doc_id"]: tuple(r[c] for c in ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "hilbert")) for r in got} == want and len(got) == n
+
+
+def test_shards_prune_by_several_columns(spark):
+    """Shards whose minima and maxima can't hold a value, by the curve and by doc_id alone."""
+    d = sharding.shard(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), 40)
+    ends = sharding.shard_ends(d).collect()
+    assert len(ends) == 40 and sum(r["rows"] for r in ends) == d.count()
+    held = {}
+    for r in d.collect():
+        held.setdefault(r["shard"], []).append(r)
+    for r in ends:
+        for c in ("lang", "source", "size", "doc_id"):
+            v = [x[c] for x in held[r["shard"]] if x[c] is not None]
+            assert (r[f"min_{c}"], r[f"max_{c}"]) == (min(v), max(v))
+    # a size within the top tenth, then the same within a tenth of the ids
+    sizes, ids = sorted(r["size"] for v in held.values() for r in v), sorted(r["doc_id"] for v in held.values() for r in v)
+    big, low = sizes[len(sizes) * 9 // 10], ids[len(ids) // 10]
+    by_size = sum(r["max_size"] < big for r in ends)
+    both = sum(r["max_size"] < big or r["min_doc_id"] > low for r in ends)
+    print("pruned of 40:", by_size, both)
+    assert by_size >= 4 and both >= 20
+
+
 def test_hilbert_is_a_curve(spark):
     for n, bits in ((2, 3), (3, 2), (4, 2)):
         side = 1 << bits
@@ -346,6 +408,43 @@ def test_rules_are_the_contract(spark):
     assert rules.judge(none(odd_docs(spark))).count() == 0 and rules.filter_documents(odd_docs(spark)).columns == odd_docs(spark).columns
 
 
+def test_fences_are_brute_force(spark):
+    """Fences and verdicts from sorted shares: quartiles, two classes, ranks, empty spread, small groups, groups of nulls."""
+    r, p, rows = random.Random(9), rules.RuleParams(), []
+    for k in range(1500):
+        lang, source = (("en", "a") if k % 3 == 0 else ("en", f"s{k % 7}") if k % 3 == 1 else (None, None))
+        v = {"symbol_share": 0 if r.random() < 0.9 else r.randint(300_000, 400_000), "dup_line_share": 0 if r.random() < 0.97 else r.randint(1, 300_000), "repeat_share": 5, "upper_share": int(r.gauss(20_000, 4_000))}
+        rows.append((k, lang, source, r.random() < 0.1, *v.values()))
+    d = spark.createDataFrame(rows, "doc_id long, lang string, source string, base_failed boolean, " + ", ".join(f"{m} long" for m in rules.METRICS))
+
+    def edge(v):
+        drop = max(0, v.bit_length() - p.bits)
+        return ((v >> drop) + 1 << drop) - 1
+
+    def fence(values):
+        v, n = sorted(map(edge, values)), len(values)
+        at = lambda q: v[-(-q * n // 1000) - 1]
+        if at(750) > at(250):
+            return at(750) + p.spread * (at(750) - at(250))
+        whole = sum(x * x for x in v) - sum(v) ** 2 / n
+        cuts = [(w0 * (n - w0) / n * (sum(v[:w0]) / w0 - sum(v[w0:]) / (n - w0)) ** 2, -v[w0 - 1]) for w0 in range(1, n) if v[w0] > v[w0 - 1] and n - w0 >= p.few]
+        return -max(cuts)[1] if cuts and max(cuts)[0] >= p.clear * whole else at(1000 - p.tail)
+
+    got = {(x["f_lang"], x["f_source"]): x for x in rules.fences(d, p).collect()}
+    ok = [x for x in rows if not x[3]]
+    assert set(got) == {(x[1], x[2]) for x in ok}
+    drawn = lambda n, f, to: (n * f + p.shrink * to) // (n + p.shrink)
+    for k, m in enumerate(rules.METRICS):
+        whole = fence([x[4 + k] for x in ok])
+        for lang, source in got:
+            of_lang, own = [x[4 + k] for x in ok if x[1] == lang], [x[4 + k] for x in ok if x[1:3] == (lang, source)]
+            assert got[lang, source][f"fence_{m}"] == drawn(len(own), fence(own), drawn(len(of_lang), fence(of_lang), whole)), (m, lang, source)
+        exact = sorted(x[4 + k] for x in ok)[-(-995 * len(ok) // 1000) - 1]
+        assert exact <= edge(exact) <= exact * (1 + 2 ** (1 - p.bits)) + 1
+    whole = {m: fence([x[4 + k] for x in ok]) for k, m in enumerate(rules.METRICS)}
+    assert whole["repeat_share"] == 5 and 0 <= whole["symbol_share"] < 300_000  # the two classes, not a rank
+
+
 # quality
 
 
