@@ -28,7 +28,9 @@ ARROW_ROWS = 1000
 
 def small_batches(df: DataFrame) -> DataFrame:
     """df, with its session's Arrow batches held to ARROW_ROWS rows: whole texts are long rows, and a batch is in
-    memory twice, off the JVM's heap and in the worker. A smaller setting of the session stays."""
+    memory twice, off the JVM's heap and in the worker. A smaller setting of the session stays. Spark's own bound of
+    64 MB a batch (spark.sql.execution.arrow.maxBytesPerBatch) holds besides, so rows of long texts come in fewer.
+    The setting is read when a plan runs, so it can't be taken back here: it stays with the session."""
     name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
     if not 0 < int(conf.get(name)) <= ARROW_ROWS:
         conf.set(name, str(ARROW_ROWS))

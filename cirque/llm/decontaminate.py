@@ -238,6 +238,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that have a test item go."""
+    """Pipeline stage: documents that have a test item go.
+
+    Columns, also of names as used here, pass through. Null and empty texts have no item and stay; rows of null doc_id go
+    if one of them has an item, as rows of any one doc_id do. Texts of any length are read whole. Empty in, empty out.
+    """
     bad = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(bad, docs.doc_id.cast("long").eqNullSafe(bad.doc_id), "left_anti")

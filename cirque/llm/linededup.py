@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialise, slices, small_batches, table
+from .common import materialise, slices, small_batches, table, words_of
 
 #: Units keep their separator at their end: joined they are the text.
 CUT = re.compile(rb"(?<=\n)|(?<=[.!?] )")
@@ -228,7 +228,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_deleted", "words_deleted")
 
 
+#: A document of which less than this share of words is left is a copy with a few sentences changed: it goes.
+LEAST_LEFT = 0.2
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: cleaned texts with their new n_chars; documents of which nothing is left go."""
-    out = dedup(docs).where("n_deleted = 0 or length(text) > 0")
-    return out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Pipeline stage: cleaned texts with their new n_chars (if docs have it); documents that lost text and have less than
+    LEAST_LEFT of their words left go.
+
+    Columns, also of names as used here, pass through. Null and empty texts stay as they are. Rows of equal doc_id and
+    text are one document; ties go to the smallest doc_id, null first. Texts of any length are cut whole. Empty in, empty out.
+    """
+    out = dedup(docs)
+    left = F.size(words_of(F.col("text")))
+    out = out.where((F.col("n_deleted") == 0) | ((left > 0) & (left >= LEAST_LEFT * (left + F.col("words_deleted")))))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -326,5 +326,5 @@ def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the last one."""
+    """Pipeline stage, the last one: the pieces of pack() with its columns; what it does with nulls, ties and the rest, so does this."""
     return pack(docs, default_params())

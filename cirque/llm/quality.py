@@ -230,7 +230,11 @@ def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rows whose text scores under the threshold go. A field on the rows' own
-    texts decides row by row, so nothing is joined or shuffled."""
+    texts decides row by row, so nothing is joined or shuffled.
+
+    Columns of any name pass through. A null text is scored as an empty one. Repeated rows and rows of null doc_id are
+    scored each; a score at the threshold stays. Texts of any length are scored whole. Empty in, empty out.
+    """
     params = QualityParams()
     shared = spark.sparkContext.broadcast(fit(docs, table(spark, sf_dir, "labels"), params))
 
@@ -240,4 +244,4 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             parts = [shared.value.score([line_features(t) for t in s[at : at + PER_BATCH]]) for at in range(0, len(s), PER_BATCH)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.withColumn("__score", score("text")).where(F.col("__score") >= params.threshold).drop("__score")
+    return docs.where(score(F.col("text")) >= params.threshold)

@@ -28,8 +28,8 @@ CHUNK = 1 << 16
 
 @dataclass(frozen=True)
 class SimHashParams:
-    """words: of a shingle. longs: 64-bit parts of a fingerprint. lane_bits: 64, or 32 for
-    candidate lanes. ball: flipped bits in each lane (half the lane's radius). distance: of
+    """words: of a shingle. longs: 64-bit parts of a fingerprint. lane_bits: 64, or at most 32 for
+    candidate lanes, cut from the fingerprint's bits in turn. ball: flipped bits in each lane (half the lane's radius). distance: of
     the whole fingerprints at most. similarity: of the two sets of shingles (Jaccard) at least,
     verified on the sets themselves; 0 leaves it at the distance."""
 
@@ -41,18 +41,19 @@ class SimHashParams:
     similarity: float = 0.0
 
     def __post_init__(self):
-        if self.lane_bits not in (32, 64) or self.ball not in (0, 1) or self.longs < 1 or self.words < 1:
-            raise ValueError("lane_bits is 32 or 64, ball 0 or 1, words and longs at least 1")
+        if not (self.lane_bits == 64 or 1 <= self.lane_bits <= 32) or self.ball not in (0, 1) or self.longs < 1 or self.words < 1:
+            raise ValueError("lane_bits is 64 or 1 to 32, ball 0 or 1, words and longs at least 1")
         if self.longs == 1 and self.lane_bits == 64 and self.distance > 2 * self.ball:
             raise ValueError("a single lane finds no distance above twice its ball")
 
 
 #: The contract of the query: 3-word shingles, 64 bits, links at 2 bits or fewer.
 CONTRACT = SimHashParams()
-#: Five words and a similarity of 0.8: fingerprints of 320 bits in ten lanes. Sets of similarity 0.8
-#: have a cosine of 8/9, so each bit differs with probability acos(8/9)/pi = 0.15, 48 bits of 320
-#: (deviation 6); unrelated texts differ in 160 (deviation 9).
-SIMILAR_08 = SimHashParams(words=5, longs=5, lane_bits=32, ball=1, distance=60, similarity=0.8)
+#: Five words and a similarity of 0.8: fingerprints of 512 bits in 17 lanes of 30. Sets of similarity 0.8
+#: have a cosine of 8/9, so each bit differs with probability acos(8/9)/pi = 0.15, 78 bits of 512
+#: (deviation 8); unrelated texts differ in 256 (deviation 11). Such a pair meets in a lane (2 bits differ at most) with
+#: probability 0.146, in one of 17 with 0.93; at similarity 0.85 with 0.99.
+SIMILAR_08 = SimHashParams(words=5, longs=8, lane_bits=30, ball=1, distance=98, similarity=0.8)
 
 
 def _mix(h: np.ndarray, k: int) -> np.ndarray:
@@ -148,14 +149,17 @@ def verified(near: DataFrame, docs: DataFrame, distinct: DataFrame, params: SimH
 
 
 def _lanes(params: SimHashParams) -> list:
-    """(lane key without flips) for each lane."""
+    """(lane key without flips) for each lane; bits that don't fill a last lane are left out."""
     if params.lane_bits == 64:
         return [F.col(f"f{k}") for k in range(params.longs)]
-    return [
-        F.shiftrightunsigned(f"f{k}", 32 * j).bitwiseAND(0xFFFFFFFF).bitwiseOR(F.lit((2 * k + j) << 32))
-        for k in range(params.longs)
-        for j in range(2)
-    ]
+    out = []
+    for lane in range(64 * params.longs // params.lane_bits):
+        k, at = divmod(lane * params.lane_bits, 64)
+        bits = F.shiftrightunsigned(f"f{k}", at)
+        if at + params.lane_bits > 64:
+            bits = bits.bitwiseOR(F.shiftleft(f"f{k + 1}", 64 - at))
+        out.append(bits.bitwiseAND((1 << params.lane_bits) - 1).bitwiseOR(F.lit(lane << 32)))
+    return out
 
 
 def links(prints: DataFrame, params: SimHashParams, verify: Callable[[DataFrame], DataFrame] = lambda near: near) -> DataFrame:
@@ -200,7 +204,8 @@ def near_duplicates(docs: DataFrame, params: SimHashParams = CONTRACT) -> DataFr
 
     component_id is the smallest doc_id that links reach. A null or empty text has
     fingerprint zero and is linked like any other; a null doc_id keeps its row, with
-    itself (null) as component unless its fingerprint's group has an id. Repeated rows stay.
+    itself (null) as component unless its fingerprint's group has an id. Repeated rows stay. Texts of any length are
+    hashed whole; ties don't arise. Only doc_id and text are read, so other columns are no matter. An empty table gives none.
     """
     names = [*(f"f{k}" for k in range(params.longs)), "same"]
     prints = materialise(fingerprints(docs, params), "simhash")
@@ -218,6 +223,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group one document stays, that with the smallest doc_id."""
+    """Pipeline stage: of each group one document stays, that with the smallest doc_id.
+
+    Columns, also of names as used here, pass through. Null and empty texts are alike: one of them stays. Rows of null
+    doc_id stay; rows that repeat a kept doc_id stay, too. Texts of any length are hashed whole. Empty in, empty out.
+    """
     kept = near_duplicates(docs, SIMILAR_08).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
     return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
