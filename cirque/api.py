@@ -60,6 +60,18 @@ def pick(all_: list[Region], name: str | None, points: list[tuple[float, float]]
     raise ApiError(404, "no region has this point")
 
 
+def pick_any(all_: list[Region], name: str | None, vertices: DataFrame, x: str, y: str, what: str) -> Region:
+    """The named region, else the first that any of the vertices is in, else the only one. One aggregate over the vertices."""
+    within = [F.max((F.col(x).between(r.bounds.min_x, r.bounds.max_x) & F.col(y).between(r.bounds.min_y, r.bounds.max_y)).cast("int")).alias(f"r{k}") for k, r in enumerate(all_)]
+    found = vertices.agg(F.count("*").alias("n"), *within).first()
+    if not found["n"]:
+        raise ApiError(400, f"no {what}")
+    here = [r for k, r in enumerate(all_) if found[f"r{k}"] == 1]
+    if name is None and here:
+        return min(here, key=lambda r: r.name)
+    return pick(all_, name, [])
+
+
 def point(all_: list[Region], x: float, y: float, name: str | None = None) -> dict:
     if not (math.isfinite(x) and math.isfinite(y)):
         raise ApiError(400, "coordinates must be finite")
@@ -79,10 +91,7 @@ def point(all_: list[Region], x: float, y: float, name: str | None = None) -> di
 
 
 def area(all_: list[Region], edges: DataFrame, name: str | None = None) -> dict:
-    first = edges.select("x1", "y1").first()
-    if first is None:
-        raise ApiError(400, "no polygon")
-    r = pick(all_, name, [(first["x1"], first["y1"])])
+    r = pick_any(all_, name, edges, "x1", "y1", "polygon")
     rows = {x["class"]: x["area_m2"] for x in class_areas(r.cells, edges, "exposure", r.meta).collect()}  # at most 6 rows
     known = sum(v for k, v in rows.items() if k is not None)
     return {
@@ -92,10 +101,7 @@ def area(all_: list[Region], edges: DataFrame, name: str | None = None) -> dict:
 
 
 def route(all_: list[Region], vertices: DataFrame, name: str | None = None) -> dict:
-    first = vertices.orderBy("part", "seq").first()
-    if first is None:
-        raise ApiError(400, "no route")
-    r = pick(all_, name, [(first["x"], first["y"])])
+    r = pick_any(all_, name, vertices, "x", "y", "route")
     s = evaluate(vertices, r.cells, r.meta).cache()
     summary = totals(s).first().asDict()
     return {"region": r.name, "summary": summary, "stretches": [x.asDict(True) for x in s.orderBy("route_id", "stretch").toLocalIterator()], "disclaimer": DISCLAIMER}

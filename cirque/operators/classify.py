@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import ClassifyParams
 from ..model import GridMeta
+from ..session import materialise
 from .local import combine, count_class, forest_code, overhead, release_code, runout_class, slope_classes, slope_weight_area, truncated
 from .zonal import cluster_mask, fill_nodata, label, numbered
 
@@ -39,9 +40,10 @@ def classify(cells: DataFrame, meta: GridMeta, p: ClassifyParams = ClassifyParam
 
     Parity mode gives null for class 0; otherwise null where elevation or forest have no data.
     """
-    d = merged_classes(cells, meta, p).withColumn("_shifted", F.least(F.lit(32767), F.col("merge_all") + 1))
+    # written once each: labelling and counting read them several times, and behind them are windows over the grid
+    d = materialise(merged_classes(cells, meta, p).withColumn("_shifted", F.least(F.lit(32767), F.col("merge_all") + 1)), "classify-merged")
     least = slope_weight_area(meta.dx, meta.dy, p.isl_size_m2)
-    d = cluster_mask(numbered(label(d, "_shifted", meta.cols)), least).withColumn("_held", F.when(F.col("keep"), F.col("_shifted")))
+    d = cluster_mask(numbered(materialise(label(d, "_shifted", meta.cols), "classify-labels")), least).withColumn("_held", F.when(F.col("keep"), F.col("_shifted")))
     d = fill(d, "_held", "keep", least / 4, "_filled") if fill else d.withColumn("_filled", F.col("_held"))
     exposure = F.col("_filled") - 1
     exposure = F.when(exposure != 0, exposure) if oracle_parity else F.when(F.col("dem").isNotNull() & F.col("forest").isNotNull(), exposure)

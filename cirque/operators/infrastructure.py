@@ -38,14 +38,15 @@ def runout_infrastructure(cells: DataFrame, dem: str, release: str, infra: str,
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        z, v = np.full((r.max() + 1, c.max() + 1), np.nan), np.zeros((r.max() + 1, c.max() + 1))
+        z, v = np.full((r.max() + 1, c.max() + 1), np.nan, np.float32), np.zeros((r.max() + 1, c.max() + 1))
+        wood = np.zeros(z.shape, np.float32)
         z[r, c], v[r, c] = pdf["_z"].to_numpy(), pdf["_i"].fillna(0).to_numpy()
         own = pdf[(pdf["_r"] > 0) & pdf["_z"].notna()].sort_values(["_z", "row", "col"], ascending=False)
         hit, found = set(), {}
         for rr, cc in zip(own["row"].tolist(), own["col"].tolist()):
             if (rr, cc) in hit:
                 continue
-            path = follow(z, None, rr, cc, size, p, (False,) * 4)
+            path = follow(z, wood, rr, cc, size, p, (False,) * 4)
             hit.update((x.row, x.col) for x in path)
             for k, value in back_calculation(path, v).items():
                 found[k] = max(found.get(k, 0.0), value)

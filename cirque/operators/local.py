@@ -1,4 +1,5 @@
-"""Per-cell rules as column expressions. Rules that reassign a value in turn are chained, not one CASE."""
+"""Per-cell rules as column expressions. Rules that reassign a value in turn are one CASE over the value as it was: what
+later rules make of a code is settled beforehand, so no expression is nested in itself."""
 
 from __future__ import annotations
 
@@ -24,9 +25,13 @@ def truncated(x: Column) -> Column:
 
 
 def _in_turn(v: Column, rules: list[tuple]) -> Column:
-    for test, to in rules:
-        v = F.when(test(v), F.lit(to)).otherwise(v)
-    return v
+    """v after rules (test, code) that each see what the ones before made of it. A test takes a column or a number."""
+    out = F
+    for k, (test, code) in enumerate(rules):
+        for later, to in rules[k + 1 :]:
+            code = to if later(code) else code
+        out = out.when(test(v), code)
+    return out.otherwise(v)
 
 
 def slope_class(s: Column, smoothed: Column, p: ClassifyParams) -> Column:
@@ -44,13 +49,8 @@ def slope_classes(cells: DataFrame, slope: str, p: ClassifyParams, rows: int, co
 
 def runout_class(v: Column, p: ClassifyParams) -> Column:
     """From a travel angle (int): 1 to 3; 90 and more pass, no data gives 0."""
-    c1 = F.when((v >= 0) & (v < 90), 1).otherwise(v)
-
-    def above(t: int, k: int) -> Column:
-        low = F.when(v < t, 0).otherwise(v)
-        return F.when((low >= t) & (low < 90), k).otherwise(low)
-
-    return F.greatest(c1, above(p.aat2, 2), above(p.aat3, 3))
+    above = lambda t, k: _in_turn(v, [(lambda v: v < t, 0), (lambda v: (v >= t) & (v < 90), k)])
+    return F.greatest(_in_turn(v, [(lambda v: (v >= 0) & (v < 90), 1)]), above(p.aat2, 2), above(p.aat3, 3))
 
 
 def count_class(v: Column, p: ClassifyParams) -> Column:
@@ -60,11 +60,10 @@ def count_class(v: Column, p: ClassifyParams) -> Column:
 
 
 def forest_code(v: Column, p: ClassifyParams) -> Column:
-    open_ = F.when(v > p.tree1, -1).otherwise(F.when(v >= 0, 10).otherwise(v))
+    open_ = F.when(v > p.tree1, -1).when(v >= 0, 10).otherwise(v)
     sparse = F.when((v > p.tree1) & (v <= p.tree2), 20).otherwise(-1)
     dense = F.when((v > p.tree2) & (v <= p.tree3), 30).otherwise(-1)
-    full = F.when(v < p.tree3, -1).otherwise(40)
-    return F.greatest(open_, sparse, dense, full)
+    return F.greatest(open_, sparse, dense, F.when(v < p.tree3, -1).otherwise(40))
 
 
 def release_code(v: Column) -> Column:

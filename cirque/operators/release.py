@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..config import PraParams
 from ..model import GridMeta
+from ..session import materialise
 from .focal import gradient_slope, windshelter
 from .local import fuzzy, memberships
 from .zonal import sieve
@@ -27,6 +28,7 @@ def release_areas(cells: DataFrame, dem: str, forest: str | None, meta: GridMeta
     d = d.withColumns({"_s": s, "_w": w, "_f": f})
     whole, binary = fuzzy(F.col("_s"), F.col("_w"), F.col("_f"), p.threshold)
     d = d.withColumns({"pra_continuous": whole, "pra_binary": binary}).drop("_s", "_w", "_f")
+    d = materialise(d, "release-areas")  # the sieve reads it more than once
     return sieve(d, "pra_binary", meta.cols, p.sieve_cells + 1, True, "pra")
 
 

@@ -16,13 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import FlowParams
-from ..model import GridMeta
+from ..model import NODATA, GridMeta
 
 #: Constants of the flow model. Fixed values.
 NO_FRICTION_Z = 30**2 / (math.sqrt(2) * 9.8)
-FRICTION_DEG = 10.0
-MIN_FRICTION_DEG = 2.0
-MAX_DETRAINMENT, MIN_DETRAINMENT, MIN_FLUX = 0.0003, 0.00001, 0.0003
+FRICTION_DEG, MIN_FRICTION_DEG = np.float32(10), np.float32(2)
+MAX_DETRAINMENT, MIN_DETRAINMENT, MIN_FLUX = np.float32(0.0003), np.float32(0.00001), 0.0003
 AROUND = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1)]
 RING = [0, 1, 2, 5, 8, 7, 6, 3]  # places of the eight neighbours in turn
 STEP = np.array([math.sqrt(2) if r and c else 1.0 if r or c else 0.0 for r, c in AROUND])
@@ -37,18 +36,22 @@ class _Cell:
         self.far, self.angle, self.start = 0.0, 0.0, False
 
 
+def _by_forest(cell: _Cell, most: np.float32, least: np.float32) -> float:
+    """What forest adds at the cell's energy height: most of it at rest, falling to the least. Products with the
+    forest are in single precision, the rest in double."""
+    rest = most * cell.forest
+    return max(float(least), float(rest - least) / -NO_FRICTION_Z * cell.z + float(rest))
+
+
 def _friction(cell: _Cell, alpha: float) -> float:
-    if cell.forest is None:
+    if not cell.forest > 0:
         return alpha
-    if cell.forest > 0 and cell.z < NO_FRICTION_Z:
-        rest = FRICTION_DEG * cell.forest
-        return alpha + max(0.0, max(MIN_FRICTION_DEG, (rest - MIN_FRICTION_DEG) / -NO_FRICTION_Z * cell.z + rest))
-    return alpha + (MIN_FRICTION_DEG if cell.forest > 0 else 0.0)
+    return alpha + (max(0.0, _by_forest(cell, FRICTION_DEG, MIN_FRICTION_DEG)) if cell.z < NO_FRICTION_Z else float(MIN_FRICTION_DEG))
 
 
 def _spread(cell: _Cell, first: _Cell, size: float, p: FlowParams) -> list[tuple[int, float, float]]:
     """(neighbour place, flux, z_delta) that a cell passes on; updates its flux, distance and angle."""
-    drop = cell.alt - cell.around
+    drop = (cell.alt - cell.around).astype(np.float64)  # differences of elevations are in single precision
     z = np.clip(cell.z + drop - STEP * size * math.tan(math.radians(_friction(cell, p.alpha))), 0, p.max_z)
     if cell is first or first in cell.parents[:1]:
         keep = np.ones(9, np.float32)
@@ -59,7 +62,7 @@ def _spread(cell: _Cell, first: _Cell, size: float, p: FlowParams) -> list[tuple
             block.append(place)
             k = RING.index((2 - place // 3) * 3 + 2 - place % 3)
             for at, share in ((k, 1.0), (k - 1, 0.707), ((k + 1) % 8, 0.707)):
-                keep[RING[at]] += np.float32(share * q.z)
+                keep[RING[at]] = np.float32(float(keep[RING[at]]) + share * q.z)  # added in double, held in float
         keep[block] = 0
     lean = np.tan((np.arctan(drop / (np.where(STEP == 0, 1.0, STEP) * size)) + math.pi / 2) / 2)
     lean[(z <= 0) | (keep <= 0)] = 0
@@ -67,13 +70,11 @@ def _spread(cell: _Cell, first: _Cell, size: float, p: FlowParams) -> list[tuple
     terrain = lean**p.exponent
     if abs(lean.sum()) > 0:
         terrain = terrain / terrain.sum()
-    if cell.forest is not None and cell.forest > 0:
-        rest = MAX_DETRAINMENT * cell.forest
-        loss = max(MIN_DETRAINMENT, (rest - MIN_DETRAINMENT) / -NO_FRICTION_Z * cell.z + rest)
-        cell.flux = max(MIN_FLUX, cell.flux - loss)
+    # detrainment is at least the least, also where there is no forest
+    cell.flux = max(MIN_FLUX, cell.flux - max(0.00001, _by_forest(cell, MAX_DETRAINMENT, MIN_DETRAINMENT)))
     if cell is not first:
         cell.far = min(math.hypot(q.row - cell.row, q.col - cell.col) * size + q.far for q in cell.parents)
-        cell.angle = math.degrees(math.atan((first.alt - cell.alt) / cell.far))
+        cell.angle = math.degrees(math.atan(float(first.alt - cell.alt) / cell.far))
     both = keep * terrain
     d = both / both.sum() * cell.flux if both.sum() > 0 else np.zeros(9)
     small = (d > 0) & (d < p.flux)
@@ -90,7 +91,7 @@ class HaloTooSmall(ValueError):
     pass
 
 
-def follow(dem: np.ndarray, wood: np.ndarray | None, row: int, col: int, size: float, p: FlowParams, open_sides: tuple[bool, bool, bool, bool]) -> list[_Cell]:
+def follow(dem: np.ndarray, wood: np.ndarray, row: int, col: int, size: float, p: FlowParams, open_sides: tuple[bool, bool, bool, bool]) -> list[_Cell]:
     """The cells of the path from one release cell; a cell that was passed before may come again."""
     rows, cols = dem.shape
 
@@ -102,7 +103,7 @@ def follow(dem: np.ndarray, wood: np.ndarray | None, row: int, col: int, size: f
         around = dem[r - 1 : r + 2, c - 1 : c + 2].ravel()
         if np.isnan(around).any():
             return None
-        return _Cell(r, c, around[4], around, None if wood is None else wood[r, c], z, flux)
+        return _Cell(r, c, around[4], around, wood[r, c], z, flux)
 
     first = make(row, col, 0.0, 1.0)
     if first is None:
@@ -129,21 +130,25 @@ def follow(dem: np.ndarray, wood: np.ndarray | None, row: int, col: int, size: f
 
 def runout(cells: DataFrame, dem: str, release: str, forest: str | None, meta: GridMeta, p: FlowParams = FlowParams(), tile: int = 32, halo: int = 512) -> DataFrame:
     """cells with z_delta, flux, cell_count, z_delta_sum, travel_angle and flow_distance (FLOAT; 0 where no
-    path came, distance 10000). forest is a fraction from 0 to 1. Needs square cells.
+    path came, distance 10000). forest is a fraction from 0 to 1; none is 0 everywhere, a gap in it the no-data value. Needs square cells.
 
     A tile's release cells are one task's work: `tile` sets the parallelism, halo the reach in cells.
     """
     if meta.dx != meta.dy:
         raise ValueError("runout needs square cells")
-    span = lambda c: F.sequence(F.expr(f"cast(floor(({c} - {halo}) / {tile}) as int)"), F.expr(f"cast(floor(({c} + {halo}) / {tile}) as int)"))
-    start = cells.where((F.col(release) > 0) & F.col(dem).isNotNull()).select(
-        "grid_id", F.expr(f"row div {tile}").cast("int").alias("_tr"), F.expr(f"col div {tile}").cast("int").alias("_tc")
-    ).distinct()
+    # from the release tiles outwards: the tiles around each that its paths may reach are looked up, cells are dealt to those
+    # only. Nothing is copied for tiles without release cells.
+    own_tile = [F.expr(f"{c} div {tile}").cast("int").alias(t) for c, t in (("row", "_hr"), ("col", "_hc"))]
+    start = cells.where((F.col(release) > 0) & F.col(dem).isNotNull()).select("grid_id", *own_tile).distinct()
+    reach = -(-halo // tile)
+    near = lambda c: F.sequence(F.greatest(F.lit(0), F.col(c) - reach), F.col(c) + reach)
+    wanted = start.select("grid_id", F.col("_hr").alias("_tr"), F.col("_hc").alias("_tc"), F.explode(near("_hr")).alias("_hr"), "_hc").withColumn("_hc", F.explode(near("_tc")))
     thin = cells.select(
-        "grid_id", "row", "col", F.col(dem).cast("double").alias("_z"), (F.lit(None) if forest is None else F.col(forest)).cast("double").alias("_w"),
-        (F.col(release) > 0).alias("_rel"), F.explode(span("row")).alias("_tr"), span("col").alias("_tcs"),
+        "grid_id", "row", "col", F.col(dem).cast("float").alias("_z"), (F.lit(None) if forest is None else F.col(forest)).cast("float").alias("_w"),
+        (F.col(release) > 0).alias("_rel"), *own_tile,
     )
-    dealt = thin.withColumn("_tc", F.explode("_tcs")).drop("_tcs").join(start, ["grid_id", "_tr", "_tc"], "left_semi")
+    within = lambda c, t: F.col(c).between(F.col(t) * tile - halo, (F.col(t) + 1) * tile - 1 + halo)
+    dealt = thin.join(wanted, ["grid_id", "_hr", "_hc"]).where(within("row", "_tr") & within("col", "_tc")).drop("_hr", "_hc")
     size, rows, cols = meta.dx, meta.rows, meta.cols
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -151,12 +156,10 @@ def runout(cells: DataFrame, dem: str, release: str, forest: str | None, meta: G
         r0, c0 = int(pdf["row"].min()), int(pdf["col"].min())
         r, c = (pdf["row"] - r0).to_numpy(), (pdf["col"] - c0).to_numpy()
         shape = (int(r.max()) + 1, int(c.max()) + 1)
-        z = np.full(shape, np.nan)
+        z, wood = np.full(shape, np.nan, np.float32), np.zeros(shape, np.float32)
         z[r, c] = pdf["_z"].to_numpy()
-        wood = None
         if forest is not None:
-            wood = np.zeros(shape)
-            wood[r, c] = pdf["_w"].fillna(0).to_numpy()
+            wood[r, c] = pdf["_w"].fillna(NODATA).to_numpy()
         open_sides = (r0 > 0, r0 + shape[0] < rows, c0 > 0, c0 + shape[1] < cols)
         own = pdf[pdf["_rel"].fillna(False) & (pdf["row"] // tile == tr) & (pdf["col"] // tile == tc) & pdf["_z"].notna()]
         own = own.sort_values(["_z", "row", "col"], ascending=False)

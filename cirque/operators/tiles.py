@@ -10,10 +10,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import class_rgba, tile_id, tile_lat, tile_lon, tile_x, tile_y, utm_forward
 from ..model import GridMeta
+from .order import in_order, running, with_previous
 
 SIDE = 256
 
@@ -69,16 +70,20 @@ def png(rgba: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 9)) + chunk(b"IEND", b"")
 
 
+#: Bytes of distinct tiles in an archive that the driver makes.
+MAX_BYTES = 256 << 20
+
+
 def directory(tiles: DataFrame, content: str) -> DataFrame:
     """(first_id, run, offset, length, hash): identical contents stored once, runs of consecutive ids merged."""
     t = tiles.select(tile_id(F.col("z"), F.col("x"), F.col("y")).alias("id"), F.sha2(F.col(content), 256).alias("hash"), F.length(content).cast("long").alias("length"))
     if t.groupBy("id").count().where("count > 1").limit(1).count():
         raise ValueError("a tile comes twice")
     first = t.groupBy("hash").agg(F.min("id").alias("_at"), F.first("length").alias("length"))
-    stored = first.withColumn("offset", F.sum("length").over(Window.orderBy("_at")) - F.col("length")).drop("length", "_at")
-    w = Window.orderBy("id")
-    same = (F.lag("hash").over(w) == F.col("hash")) & (F.lag("id").over(w) == F.col("id") - 1)
-    runs = t.withColumn("_run", F.sum(F.when(same, 0).otherwise(1)).over(w)).groupBy("_run").agg(F.min("id").alias("first_id"), F.count("*").alias("run"), F.first("hash").alias("hash"), F.first("length").alias("length"))
+    stored = running(in_order(first, "_at"), "_at", F.col("length"), "_end").select("hash", (F.col("_end") - F.col("length")).alias("offset"))
+    d = with_previous(in_order(t, "id"), "id", ["id", "hash"])
+    new = F.when((F.col("prev_hash") == F.col("hash")) & (F.col("prev_id") == F.col("id") - 1), 0).otherwise(1)
+    runs = running(d, "id", new, "_run").groupBy("_run").agg(F.min("id").alias("first_id"), F.count("*").alias("run"), F.first("hash").alias("hash"), F.first("length").alias("length"))
     return runs.join(stored, "hash").select("first_id", "run", "offset", "length", "hash")
 
 
@@ -91,17 +96,21 @@ def _varint(n: int) -> bytes:
 
 
 def write_pmtiles(tiles: DataFrame, content: str, bounds: tuple[float, float, float, float], metadata: dict, tile_type: int = 2) -> bytes:
-    """A PMTiles v3 archive. The root directory is at most 16 KiB, so what the driver holds is bounded by it and the
-    distinct contents it points to."""
+    """A PMTiles v3 archive, made on the driver: its distinct contents are at most MAX_BYTES (checked beforehand), its
+    root directory at most 16 KiB."""
+    if (size := tiles.groupBy(F.sha2(F.col(content), 256)).agg(F.first(F.length(content)).alias("n")).agg(F.sum("n")).first()[0] or 0) > MAX_BYTES:
+        raise ValueError(f"{size} bytes of tiles: more than an archive made on the driver may have")
     rows = directory(tiles, content).orderBy("first_id").collect()
     if not rows:
         raise ValueError("no tiles")
     blobs = {r["hash"]: bytes(r["blob"]) for r in tiles.groupBy(F.sha2(F.col(content), 256).alias("hash")).agg(F.first(content).alias("blob")).toLocalIterator()}
-    data, seen = b"", {}
+    parts, seen, at = [], {}, 0
     for r in rows:
         if r["hash"] not in seen:
-            seen[r["hash"]] = len(data)
-            data += blobs[r["hash"]]
+            seen[r["hash"]] = at
+            parts.append(blobs[r["hash"]])
+            at += len(parts[-1])
+    data = b"".join(parts)
     ids = [r["first_id"] for r in rows]
     raw = _varint(len(rows)) + b"".join(_varint(b - a) for a, b in zip([0, *ids], ids)) + b"".join(_varint(r["run"]) for r in rows) + b"".join(_varint(r["length"]) for r in rows)
     end = None

@@ -10,11 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..model import GridMeta
 from ..session import materialise
 from .components import components
+from .order import in_order, running
 
 TILE = 256
 N4, N8 = ((-1, 0), (0, -1)), ((-1, 0), (-1, -1), (-1, 1), (0, -1))  # N W / N NW NE W
@@ -78,9 +79,11 @@ def label(cells: DataFrame, value: str, cols: int, eight: bool = True, backgroun
 
 def numbered(labelled: DataFrame) -> DataFrame:
     """Adds `label`: 1.. in scan order of the components' first cells, 0 for background. The ranking
-    is over one row per component."""
+    is over one row per component, in ranges of them."""
     roots = labelled.where("root is not null").select("grid_id", "root").distinct()
-    ranked = roots.withColumn("label", F.row_number().over(Window.partitionBy("grid_id").orderBy("root")))
+    order = running(in_order(roots.withColumn("_at", F.struct("grid_id", "root")), "_at"), "_at", F.lit(1), "_rank")
+    before = order.groupBy("grid_id").agg((F.min("_rank") - 1).alias("_before"))  # ranks of the grids before
+    ranked = order.join(F.broadcast(before), "grid_id").select("grid_id", "root", (F.col("_rank") - F.col("_before")).cast("int").alias("label"))
     return labelled.join(ranked, ["grid_id", "root"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 

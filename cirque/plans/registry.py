@@ -196,7 +196,18 @@ def cluster_mask(spark, sf):
     return zonal.cluster_mask(zonal.numbered(zonal.label(_blocks(cells), "v", m.cols, tile=16)), 13).select("row", "col", "keep")
 
 
-@query()
+#: The sieve over comp and {t}(row, col, {v}): chains of largest neighbours, each up to its first large component.
+_SIEVE = """sz AS (SELECT root, count(*) AS size, any_value({v}) AS val FROM comp JOIN {t} ON p = row*{w}+col GROUP BY 1),
+ near AS (SELECT ca.root AS a, cb.root AS b, min((x.row*{w}+x.col)*4+k) AS rank FROM {t} x, (VALUES (-1,0,0),(-1,-1,1),(-1,1,2),(0,-1,3)) o(dr, dc, k), {t} y, comp ca, comp cb
+  WHERE y.row=x.row+dr AND y.col=x.col+dc AND ca.p=x.row*{w}+x.col AND cb.p=y.row*{w}+y.col AND ca.root<>cb.root GROUP BY 1, 2),
+ touch AS (SELECT a, b, min(rank) AS rank FROM (SELECT a, b, rank FROM near UNION ALL SELECT b, a, rank FROM near) GROUP BY 1, 2),
+ big AS (SELECT a, b FROM touch JOIN sz ON root=b QUALIFY row_number() OVER (PARTITION BY a ORDER BY size DESC, rank)=1),
+ chain(a, b) AS (SELECT root, root FROM sz UNION SELECT chain.a, big.b FROM chain JOIN sz ON root=chain.b JOIN big ON big.a=chain.b WHERE size<{n}),
+ fin AS (SELECT chain.a AS root, any_value(val) AS val FROM chain JOIN sz ON root=b WHERE size>={n} GROUP BY 1),
+ sv AS (SELECT row, col, CAST(coalesce(fin.val, {v}) AS INTEGER) AS sieved FROM {t} LEFT JOIN comp ON p=row*{w}+col LEFT JOIN fin USING (root))"""
+
+
+@query(f"WITH RECURSIVE {G}, {BLOCK}, " + _REACH.format(w=50, t="pt", v="v", also="", alone="") + ", " + _SIEVE.format(w=50, t="pt", v="v", n=9) + " SELECT pt.row, pt.col, v, sieved FROM pt JOIN sv USING (row, col)")
 def sieve(spark, sf):
     cells, m = _grid(spark, sf)
     return zonal.sieve(_blocks(cells), "v", m.cols, 9).select("row", "col", "v", "sieved")
@@ -347,10 +358,34 @@ def class_names(spark, sf):
     return d.select("row", "col", F.when(F.col("merge_all").between(0, 4), S.class_name(F.col("merge_all"))).alias("class_name"))
 
 
-@query()
+@query(f"{MERGED.replace('WITH ', 'WITH RECURSIVE ', 1)}, sh AS (SELECT row, col, least(32767, merge_all + 1) AS v FROM ma), " + _REACH.format(w=50, t="sh", v="v", also="AND a.v<>0", alone="AND v<>0")
+       + ", s AS (SELECT root, count(*) AS c FROM comp GROUP BY 1) SELECT sh.row, sh.col, merge_all, CAST(CASE WHEN c >= 15 THEN v - 1 END AS INTEGER) AS exposure FROM sh JOIN ma USING (row, col) LEFT JOIN comp ON p=sh.row*50+sh.col LEFT JOIN s USING (root)")
+def classify_unfilled(spark, sf):
+    """The classifier whose islands stay empty."""
+    cells, m = _grid(spark, sf)
+    d = focal.horn_slope(cells, "dem", m.dx, m.dy, m.rows, m.cols)
+    return C.classify(d, m, ClassifyParams(isl_size_m2=1500), fill=None).select("row", "col", "merge_all", "exposure")
+
+
+#: Gradient slope, wind shelter over 60 m, memberships and their fuzzy sum, in the defaults.
+_PRA = f"""{G}, gw AS (SELECT row, col, dem, lag(dem) OVER (PARTITION BY col ORDER BY row) u, lead(dem) OVER (PARTITION BY col ORDER BY row) v,
+  lag(dem) OVER (PARTITION BY row ORDER BY col) l, lead(dem) OVER (PARTITION BY row ORDER BY col) r FROM g),
+ gp AS (SELECT row, col, CASE WHEN u IS NULL THEN (v-dem)/10 WHEN v IS NULL THEN (dem-u)/10 ELSE (v-u)/20 END px, CASE WHEN l IS NULL THEN (r-dem)/10 WHEN r IS NULL THEN (dem-l)/10 ELSE (r-l)/20 END py FROM gw),
+ gs AS (SELECT row, col, CAST(atan(sqrt(px*px+py*py))*180/pi() AS FLOAT) AS slope FROM gp),
+ o AS (SELECT a.k AS r, b.k AS c FROM range(-6, 7) a(k), range(-6, 7) b(k) WHERE a.k*a.k+b.k*b.k BETWEEN 1 AND 36),
+ ws AS (SELECT g.row, g.col, CAST(quantile_cont(atan((n.dem-g.dem)/(sqrt(r*r+c*c)*10)), 0.5) AS FLOAT) AS ws FROM g, d, o, g n
+  WHERE n.row=g.row+r AND n.col=g.col+c AND g.row BETWEEN 6 AND nr-7 AND g.col BETWEEN 6 AND nc-7 GROUP BY 1, 2),
+ mb AS (SELECT row, col, ws, 1/(1+pow((slope::DOUBLE-43)/11.0::DOUBLE, 8)) AS s0, 1/(1+pow((coalesce(ws::DOUBLE, -9999)-3)/3.0::DOUBLE, 20)) AS w0, 1/(1+pow((forest::DOUBLE+15)/40.0::DOUBLE, 7)) AS f0 FROM gs JOIN g USING (row, col) LEFT JOIN ws USING (row, col)),
+ md AS (SELECT row, col, ws, round_even(s0*100000, 0)/100000 AS s, round_even(w0*100000, 0)/100000 AS w, round_even(CASE WHEN f0<=1e-5 THEN 1 ELSE f0 END*100000, 0)/100000 AS f FROM mb),
+ pf AS (SELECT *, round_even(((1-least(s,w,f))*least(s,w,f)+least(s,w,f)*(s+w+f)/3)*100000, 0)/100000*100 AS x FROM md),
+ rb AS (SELECT row, col, ws, CAST(trunc(x) AS INTEGER) AS pra_continuous, CAST(CASE WHEN x>=0 AND x<15 THEN 0 WHEN x>15 AND x<=100 THEN 1 ELSE trunc(x) END AS INTEGER) AS v FROM pf)"""
+
+
+@query(f"WITH RECURSIVE {_PRA}, " + _REACH.format(w=50, t="rb", v="v", also="", alone="") + ", " + _SIEVE.format(w=50, t="rb", v="v", n=4) + " SELECT rb.row, rb.col, round(ws::DOUBLE, 4) AS windshelter, pra_continuous, v AS pra_binary, sieved AS pra FROM rb JOIN sv USING (row, col)")
 def release_areas(spark, sf):
     cells, m = _grid(spark, sf)
-    return release.release_areas(cells.drop("pra"), "dem", "forest", m, PraParams(radius_m=20)).select("row", "col", F.round("windshelter", 4).alias("windshelter"), "pra_continuous", "pra_binary", "pra")
+    d = release.release_areas(cells.drop("pra"), "dem", "forest", m, PraParams())
+    return d.select("row", "col", r4("windshelter").alias("windshelter"), "pra_continuous", "pra_binary", "pra")
 
 
 @query()
@@ -367,20 +402,13 @@ def classify(spark, sf):
     return C.classify(d, m, ClassifyParams(isl_size_m2=1500)).select("row", "col", "merge_all", "exposure")
 
 
-@query(f"""WITH RECURSIVE w(k, s, x, y, d) AS (SELECT c_custkey, 32::BIGINT, CAST(c_custkey % 64 AS BIGINT), CAST(c_custkey // 64 AS BIGINT), 0::BIGINT FROM customer WHERE c_custkey < 4096 UNION ALL {_STEP}),
- t AS (SELECT d + 1365 AS id, k % 7 AS body FROM w WHERE s = 0), o AS (SELECT body, row_number() OVER (ORDER BY min(id)) - 1 AS place FROM t GROUP BY 1),
+@query(f"""WITH RECURSIVE w(k, s, x, y, d) AS (SELECT c_custkey, 524288::BIGINT, CAST(c_custkey % 64 + 64*(c_custkey // 4096 % 16384) AS BIGINT), CAST(c_custkey % 4096 // 64 + 64*(c_custkey // 67108864) AS BIGINT), 0::BIGINT FROM customer UNION ALL {_STEP}),
+ t AS (SELECT d + (pow(4, 20)::BIGINT - 1) // 3 AS id, k % 7 AS body FROM w WHERE s = 0), o AS (SELECT body, row_number() OVER (ORDER BY min(id)) - 1 AS place FROM t GROUP BY 1),
  n AS (SELECT *, CASE WHEN lag(body) OVER v = body AND lag(id) OVER v = id - 1 THEN 0 ELSE 1 END AS nw FROM t WINDOW v AS (ORDER BY id)),
  r AS (SELECT *, sum(nw) OVER (ORDER BY id) AS r FROM n)
  SELECT min(id) AS first_id, count(*) AS run, CAST(any_value(place) AS BIGINT) AS "offset", CAST(1 AS BIGINT) AS length FROM r JOIN o USING (body) GROUP BY r""")
 def pmtiles_directory(spark, sf):
-    k = F.col("c_custkey")
-    t = spark.read.parquet(f"{sf}/customer.parquet").where(k < 4096).select(F.lit(6).alias("z"), F.expr("c_custkey % 64").cast("int").alias("x"), F.expr("c_custkey div 64").cast("int").alias("y"), (k % 7).cast("string").alias("body"))
-    return tiles.directory(t, "body").select("first_id", "run", "offset", "length")
-
-
-@query()
-def pmtiles_directory_whole(spark, sf):
-    """Every customer on a tile of zoom 20: squares of 4096 as in pmtiles_directory, side by side, 16384 in a row."""
+    """Every customer on a tile of zoom 20: squares of 4096 customers side by side, 16384 in a row."""
     k = F.col("c_custkey")
     x, y = F.expr("c_custkey % 64 + 64 * (c_custkey div 4096 % 16384)"), F.expr("c_custkey % 4096 div 64 + 64 * (c_custkey div 67108864)")
     t = spark.read.parquet(f"{sf}/customer.parquet").select(F.lit(20).alias("z"), x.cast("int").alias("x"), y.cast("int").alias("y"), (k % 7).cast("string").alias("body"))

@@ -95,5 +95,5 @@ def test_directory_of_every_customer(spark):
             want[-1][1] += 1
         else:
             want.append([i, 1, at, 1])
-    got = [list(r) for r in registry.Q["pmtiles_directory_whole"](spark, sf).orderBy("first_id").collect()]
+    got = [list(r) for r in registry.Q["pmtiles_directory"](spark, sf).orderBy("first_id").collect()]
     assert got == want and sum(r[1] for r in got) == len(keys)
