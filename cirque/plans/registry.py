@@ -391,7 +391,7 @@ def release_areas(spark, sf):
 @query()
 def flow_runout(spark, sf):
     cells, m = _grid(spark, sf)
-    d = cells.select("grid_id", "row", "col", "dem", (F.col("forest") / 100).alias("wood"), F.when((F.col("row") % 13 == 5) & (F.col("col") % 11 == 3), 1).otherwise(0).alias("start"))
+    d = cells.select("grid_id", "row", "col", "dem", (F.col("forest") / 100).alias("wood"), F.col("pra").alias("start"))
     return runout.runout(d, "dem", "start", "wood", m, FlowParams()).select("row", "col", "cell_count", F.round("z_delta", 3).alias("z_delta"), F.round("flux", 5).alias("flux"), F.round("travel_angle", 3).alias("travel_angle"))
 
 

@@ -44,12 +44,14 @@ def test_products(spark, tmp_path):
 
 
 def test_infrastructure(spark):
-    z = lambda r: 2000.0 - math.tan(math.radians(30)) * 10 * min(r, 20)
-    rows = [(0, r, c, z(r), int((r, c) in ((2, 10), (5, 10), (40, 2))), 7.0 if (r, c) == (15, 10) else 0.0) for r in range(60) for c in range(21)]
+    """A gully with a building in it: the cells of the gully down to it have its value, what starts elsewhere has none."""
+    z = lambda r, c: 1800.0 - 9 * min(r, 18) - 0.5 * r + 60 * abs(c - 6)
+    starts, building = ((1, 6), (4, 6), (30, 2)), (12, 6)
+    rows = [(0, r, c, z(r, c), int((r, c) in starts), 3.0 if (r, c) == building else 0.0) for r in range(35) for c in range(13)]
     d = spark.createDataFrame(rows, "grid_id long, row int, col int, dem double, start int, infra double")
-    out = infrastructure.runout_infrastructure(d, "dem", "start", "infra", model.GridMeta(0, 600, 10, 10, 60, 21), config.FlowParams(alpha=25))
-    hit = {(r["row"], r["col"]) for r in out.where("backcalculation = 7").collect()}
-    assert (2, 10) in hit and (15, 10) in hit and all(r <= 15 for r, _ in hit)
+    out = infrastructure.runout_infrastructure(d, "dem", "start", "infra", model.GridMeta(0, 350, 10, 10, 35, 13), config.FlowParams(alpha=20))
+    hit = {(r["row"], r["col"]) for r in out.where("backcalculation = 3").collect()}
+    assert hit == {(r, 6) for r in range(1, 13)} and out.where("backcalculation not in (0, 3)").count() == 0
 
 
 def test_mosaic(spark, tmp_path):
