@@ -49,7 +49,7 @@ def test_infrastructure(spark):
     starts, building = ((1, 6), (4, 6), (30, 2)), (12, 6)
     rows = [(0, r, c, z(r, c), int((r, c) in starts), 3.0 if (r, c) == building else 0.0) for r in range(35) for c in range(13)]
     d = spark.createDataFrame(rows, "grid_id long, row int, col int, dem double, start int, infra double")
-    out = infrastructure.runout_infrastructure(d, "dem", "start", "infra", model.GridMeta(0, 350, 10, 10, 35, 13), config.FlowParams(alpha=20))
+    out = infrastructure.runout_infrastructure(d, "dem", "start", "infra", model.GridMeta(0, 350, 10, 10, 35, 13), config.FlowParams(alpha=42))
     hit = {(r["row"], r["col"]) for r in out.where("backcalculation = 3").collect()}
     assert hit == {(r, 6) for r in range(1, 13)} and out.where("backcalculation not in (0, 3)").count() == 0
 
