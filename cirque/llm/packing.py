@@ -13,7 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +27,10 @@ TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Kinds of bytes: 1 a-z and 0-9, 2 common marks after a word, 4 ASCII white space.
 KIND = np.zeros(256, np.uint8)
 KIND[list(b"abcdefghijklmnopqrstuvwxyz0123456789")], KIND[list(b".,;:!?)")], KIND[list(b" \t\n\x0b\x0c\r")] = 1, 2, 4
-#: Chunks that a worker remembers at most, from task to task (about 200 bytes each).
-CACHE = 600_000
-HOT = 8192
-#: Texts whose new chunks are learnt together.
-TOGETHER = 200
+#: Chunks that a worker remembers at most, from task to task (some 40 bytes each), in a table of 2 ** TABLE_BITS places.
+CACHE, TABLE_BITS = 1_200_000, 22
+#: Bytes of text that are cut, hashed and looked up at once.
+BLOCK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -47,33 +46,78 @@ class PackParams:
     rounds: int = 400
 
 
-def chunks_of(text: bytes) -> list[bytes]:
-    """The text cut at white space, and before a single mark that stands between a letter or digit and white space
-    (or the end): there the pre-tokenizer always cuts, and words with and without marks are the same chunk."""
-    kind = KIND[np.frombuffer(text, np.uint8)]
-    if len(kind) > 1:
-        at = np.flatnonzero((kind[1:] == 2) & (kind[:-1] == 1) & (np.append(kind[2:], 4) == 4)) + 1
-        if len(at):
-            text = np.insert(np.frombuffer(text, np.uint8), at, 32).tobytes()
-    return text.split()
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    base = 0x9E3779B97F4A7C15
+    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+class Cutter:
+    """Where the chunks of a text are, and a 64-bit hash of each: differences of polynomial prefix hashes modulo 2**64,
+    mixed with the length. Chunks end at white space, and before a single mark that stands between a letter or digit and
+    white space: there the pre-tokenizer always cuts, and words with and without marks are the same chunk."""
+
+    def __init__(self):
+        self.up, self.down = _powers(BLOCK + 1)
+
+    def cut(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, hashes) of a text's bytes, which end with white space."""
+        kind = KIND[text]
+        word, mark = kind != 4, np.zeros(len(text), bool)
+        mark[1:-1] = (kind[1:-1] == 2) & (kind[:-2] == 1) & (kind[2:] == 4)
+        edge = np.empty(len(text), bool)
+        edge[0], edge[1:] = True, ~word[:-1]
+        starts = np.flatnonzero(word & (edge | mark))
+        edge[-1], edge[:-1] = True, ~word[1:] | mark[1:]
+        ends = np.flatnonzero(word & edge) + 1
+        return starts, ends, self.hash(text, starts, ends)
+
+    def hashes(self, chunks: list[bytes]) -> np.ndarray:
+        """Of chunks as they are."""
+        out = [np.zeros(0, np.uint64)]
+        for at in range(0, len(chunks), 1 << 14):
+            ends = np.cumsum(np.fromiter(map(len, chunks[at : at + (1 << 14)]), np.int64))
+            out.append(self.hash(np.frombuffer(b"".join(chunks[at : at + (1 << 14)]), np.uint8), np.concatenate(([0], ends[:-1])), ends))
+        return np.concatenate(out)
+
+    def hash(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(text) >= len(self.up):
+            self.up, self.down = _powers(len(text) + 1)
+        with np.errstate(over="ignore"):
+            prefix = np.zeros(len(text) + 1, np.uint64)
+            np.cumsum((text + np.uint64(1)) * self.up[: len(text)], out=prefix[1:])
+            h = (prefix[ends] - prefix[starts]) * self.down[starts] + (ends - starts).astype(np.uint64)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        return np.maximum(h, np.uint64(1))  # 0 marks a free place
 
 
 class Encoder:
-    """Token ids of a text, by chunk between ASCII spaces; chunks are cached up to a bound.
+    """Token ids of a text, by chunk between ASCII spaces; chunks are known by their hashes, up to a bound.
 
-    Exact: the normaliser maps white space to one space, the pre-tokenizer drops it and
-    no rule crosses it. Texts with what may be a special token's string are encoded whole.
+    The normaliser maps white space to one space, the pre-tokenizer drops it and no rule crosses it, so ids of chunks
+    one after another are those of the text (but for a collision of 64-bit hashes among the chunks a worker remembers).
+    Texts with what may be a special token's string are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cutter = Tokenizer.from_file(path), Cutter()
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.letters, self.others = set("abcdefghijklmnopqrstuvwxyz"), set()
+        self.keys, self.codes = np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(1 << TABLE_BITS, np.int32)
+        self.flat, self.first, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.forget()
 
+    def forget(self) -> None:
+        """ids of the chunk of a code are flat[first[code]:][:size[code]]."""
+        self.keys[:] = 0
+        self.known = self.used = 0
+
     def spelt(self, text: str) -> bool:
         """Whether each character, once normalised, is letters alone to this pre-tokenizer: it ends apart from
         punctuation after it and joins a letter before it. (Lower case or composition may turn a letter into others.)"""
@@ -86,22 +130,44 @@ class Encoder:
             return self.letters.issuperset(text)
         return True
 
-    def forget(self) -> None:
-        """code of each known chunk; its ids are flat[first[code]:][:size[code]]."""
-        self.code: dict[bytes, int] = {}
-        self.hot: dict[bytes, int] = {}
-        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Codes, -1 where unknown: linear probing."""
+        at = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        seen = self.keys[at]
+        out = np.where(seen == hashes, self.codes[at], np.int32(-1)).astype(np.int64)
+        todo = np.flatnonzero((seen != hashes) & (seen != 0))
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & ((1 << TABLE_BITS) - 1)
+            seen, mine = self.keys[at], hashes[todo]
+            hit = seen == mine
+            out[todo[hit]] = self.codes[at[hit]]
+            on = ~hit & (seen != 0)
+            todo, at = todo[on], at[on]
+        return out
 
-    def add(self, chunks: list[bytes], flat: np.ndarray, size: np.ndarray) -> None:
-        first = len(self.flat) + np.cumsum(size) - size
-        self.code.update(zip(chunks, range(len(self.code), len(self.code) + len(chunks))))
-        self.flat = np.concatenate((self.flat, flat.astype(np.uint32)))
-        self.first, self.size = np.concatenate((self.first, first)), np.concatenate((self.size, size))
+    def add(self, hashes: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        """Different chunks with their ids."""
+        n, ids = len(hashes), len(flat)
+        while self.known + n > len(self.first):
+            self.first, self.size = np.concatenate((self.first, self.first)), np.concatenate((self.size, self.size))
+        while self.used + ids > len(self.flat):
+            self.flat = np.concatenate((self.flat, self.flat))
+        code = np.arange(self.known, self.known + n, dtype=np.int32)
+        self.first[code], self.size[code] = self.used + np.cumsum(size) - size, size
+        self.flat[self.used : self.used + ids] = flat
+        self.known, self.used = self.known + n, self.used + ids
+        at = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        while len(code):
+            free = self.keys[at] == 0
+            self.keys[at[free]], self.codes[at[free]] = hashes[free], code[free]  # of several for a place one gets it
+            on = self.keys[at] != hashes
+            hashes, code, at = hashes[on], code[on], (at[on] + 1) & ((1 << TABLE_BITS) - 1)
 
     def add_each(self, chunks: list[bytes]) -> None:
         ids = [self.tokenizer.encode(c.decode(), add_special_tokens=False).ids for c in chunks]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.add(chunks, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size)
+        self.add(self.cutter.hashes(chunks), np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size)
 
     def add_words(self, words: list[bytes]) -> None:
         """Words of letters alone are one pre-token each: many are encoded as one text, whose tokens
@@ -111,51 +177,57 @@ class Encoder:
             ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.int64)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
-                self.add(part, ids, np.diff(ends, prepend=0))
+                self.add(self.cutter.hashes(part), ids, np.diff(ends, prepend=0))
             else:
                 self.add_each(part)
 
     def learn(self, chunks: list[bytes]) -> None:
         """ASCII punctuation (but apostrophes) after a letter is always one pre-token apart from what is before."""
-        core_of = {c: core for c in chunks if (core := c.rstrip(TAIL)) != c and core and self.spelt(core.decode()[-1])}
-        alone = {c for c in chunks if c not in core_of}
-        alone.update(core_of.values(), (c[len(core) :] for c, core in core_of.items()))
-        alone = [c for c in alone if c not in self.code]
-        words = {c for c in alone if self.spelt(c.decode())}
-        self.add_words(list(words))
-        self.add_each([c for c in alone if c not in words])
+        core_of = {c: core for c in chunks if c[-1] in TAIL and (core := c.rstrip(TAIL)) and self.spelt(core.decode()[-1])}
+        alone = list(dict.fromkeys(chain((c for c in chunks if c not in core_of), core_of.values(), (c[len(core) :] for c, core in core_of.items()))))
+        alone = [c for c, k in zip(alone, self.find(self.cutter.hashes(alone)).tolist()) if k < 0]
+        words = [self.spelt(c.decode()) for c in alone]
+        self.add_words([c for c, w in zip(alone, words) if w])
+        self.add_each([c for c, w in zip(alone, words) if not w])
         if core_of:
-            pairs = [x for c, core in core_of.items() for x in (core, c[len(core) :])]
-            code = np.fromiter(map(self.code.__getitem__, pairs), np.int64, len(pairs))
-            self.add(list(core_of), self.joined(code), self.size[code].reshape(-1, 2).sum(1))
+            code = self.find(self.cutter.hashes([x for c, core in core_of.items() for x in (core, c[len(core) :])]))
+            self.add(self.cutter.hashes(list(core_of)), self.joined(code), self.size[code].reshape(-1, 2).sum(1))
+
+    def chunks(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, codes) of the chunks of a text that ends with white space, block by block."""
+        starts, codes, at = [], [], 0
+        while at < len(text):
+            end = len(text)
+            if end - at > BLOCK:
+                space = [text.rfind(c, at, at + BLOCK) for c in (b" ", b"\n")]
+                if max(space) < 0:  # no space in a block's length: up to the next one
+                    space = [min((k for k in (text.find(c, at + BLOCK) for c in (b" ", b"\n")) if k >= 0), default=end - 1)]
+                end = max(space) + 1
+            block = np.frombuffer(text, np.uint8, end - at, at)
+            s, e, h = self.cutter.cut(block)
+            code = self.find(h)
+            new = np.flatnonzero(code < 0)
+            if len(new):
+                once = new[np.unique(h[new], return_index=True)[1]]
+                self.learn([text[at + i : at + j] for i, j in zip(s[once].tolist(), e[once].tolist())])
+                code[new] = self.find(h[new])
+            starts.append(s + at)
+            codes.append(code)
+            at = end
+        return (np.concatenate(starts), np.concatenate(codes)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def batch(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of UTF-8 texts."""
-        if len(self.code) > CACHE:
+        if self.known > CACHE:
             self.forget()
         # the normaliser lower-cases; doing so for A-Z beforehand makes fewer different chunks. Not where marks (U+0300 to
         # U+036F) may follow: some compose with one case of a letter only, and the normaliser composes first
-        split = [None if b"<|" in t else chunks_of(t if b"\xcc" in t or b"\xcd" in t else t.lower()) for t in texts]
-        codes = [None if ws is None else self.look(ws) for ws in split]
-        misses = [np.zeros(0, np.int64) if c is None else np.flatnonzero(c < 0) for c in codes]
-        new = {ws[i] for ws, at in zip(split, misses) for i in at.tolist()}
-        if new:
-            self.learn(list(new))
-            for ws, c, at in zip(split, codes, misses):
-                if len(at):
-                    c[at] = [self.code[ws[i]] for i in at.tolist()]
-        if not self.hot and (seen := [c for c in codes if c is not None]):
-            often = np.argsort(-np.bincount(np.concatenate(seen), minlength=1), kind="stable")[:HOT]
-            by_code = list(self.code)
-            self.hot = {by_code[k]: int(k) for k in often.tolist() if k < len(by_code)}
-        return [self.whole(t) if c is None else self.joined(c) for t, c in zip(texts, codes)]
-
-    def look(self, chunks: list[bytes]) -> np.ndarray:
-        """Codes, -1 where unknown. The most frequent chunks are in a table that fits a CPU's cache."""
-        out = np.fromiter(map(self.hot.get, chunks, repeat(-1)), np.int64, len(chunks))
-        at = np.flatnonzero(out < 0)
-        out[at] = np.fromiter(map(self.code.get, [chunks[i] for i in at.tolist()], repeat(-1)), np.int64, len(at))
-        return out
+        low = [b"" if b"<|" in t else t if b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts]
+        starts, code = self.chunks(b"".join(x for t in low for x in (t, b"\n")))
+        ids = self.joined(code)
+        size = np.concatenate(([0], np.cumsum(self.size[code])))
+        cuts = size[np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in low)]))].tolist()
+        return [self.whole(t) if b"<|" in t else ids[a:b] for t, a, b in zip(texts, cuts, cuts[1:])]
 
     def whole(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
@@ -176,6 +248,18 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def together(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of a block's bytes in all, or of one longer text."""
+    at = size = 0
+    for k, t in enumerate(texts):
+        if k > at and size + len(t) > BLOCK:
+            yield at, k
+            at, size = k, 0
+        size += len(t) + 1
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def pieces(docs: DataFrame, params: PackParams) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): a null or empty text is the separator alone."""
 
@@ -184,8 +268,8 @@ def pieces(docs: DataFrame, params: PackParams) -> DataFrame:
         for b in slices(batches):
             rows: list[tuple] = []
             ids_of, texts = b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()]
-            for at in range(0, len(texts), TOGETHER):
-                for doc, ids in zip(ids_of[at : at + TOGETHER], enc.batch(texts[at : at + TOGETHER])):
+            for at, to in together(texts):
+                for doc, ids in zip(ids_of[at:to], enc.batch(texts[at:to])):
                     ids = np.append(ids, np.uint32(params.separator)).astype("<u4")
                     rows += [(doc, k, s, len(ids[s : s + cap]), zlib.crc32(ids[s : s + cap].tobytes())) for k, s in enumerate(range(0, len(ids), cap))]
             cols = list(zip(*rows)) or [()] * 5

@@ -686,6 +686,18 @@ def test_chunks_give_the_tokenizers_ids():
         assert [x.tolist() for x in enc.batch([t.encode() for t in part])] == want
 
 
+def test_chunks_of_texts_longer_than_a_block(monkeypatch):
+    """Blocks end at white space; a chunk longer than a block is one all the same; what is forgotten is learnt again."""
+    monkeypatch.setattr(packing, "BLOCK", 64)
+    monkeypatch.setattr(packing, "CACHE", 40)
+    enc = packing.Encoder(packing.default_params().tokenizer)
+    texts = [prose(200, 51), "x" * 500 + " y", " " * 300, "a" * 100 + "\n" + "b. " * 90, "É" * 90 + ".", "", "z.", "<|endoftext|> end", "tab\tonly\t" * 40, "w" * 63 + " v", "w" * 64 + " v"] * 3
+    want = [x.ids for x in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in enc.batch(texts and [t.encode() for t in texts])] == want
+    assert [y.tolist() for a, b in packing.together([t.encode() for t in texts]) for y in enc.batch([t.encode() for t in texts[a:b]])] == want
+    assert [b - a for a, b in packing.together([b"x" * 10] * 12)] == [5, 5, 2] and list(packing.together([])) == []
+
+
 def test_plan_places_all():
     rng = np.random.default_rng(1)
     for n in (0, 1, 50, 20_000):
