@@ -1,19 +1,23 @@
-"""Line dedup by a suffix structure over line-ID sequences, built by prefix doubling.
+"""Line dedup by a suffix array over line-ID sequences, built by distributed prefix doubling.
 
 Each text is a sequence of units: its lines, cut again after sentence ends, so that a
-passage pasted into the middle of a line is still a run of whole units. Units that
-occur once in the corpus end every repeated run, so only repeated units go on.
-Prefix doubling names every suffix's first 1, 2, 4, .. units (equal names: equal
-prefixes, i.e. one interval of the suffix array at that depth); names are hashes,
-so no round needs a global sort. A prefix of any length n is named by the two names
-of the largest power of two within it. The interval of every minimal run of
-`min_words` words, from each start and to each end, is looked up in one shuffle;
-maximal repeated runs of that many words are exactly the unions of these. The first
-copy of an interval stays, later copies are deleted.
+passage pasted into the middle of a line is still a run of whole units. Its suffixes are sorted by
+their first 2, 4, 8, .. units: a round sorts the pairs (rank, rank 2^k units on) of all live suffixes over
+ranges of the whole corpus, the place in that order is the next rank, and a suffix whose rank is its own
+is dropped. Suffixes that are equal in their first m units stand together: an interval of the array
+whose longest common prefixes are m units at least. Any m within 2^k and 2^(k+1) is looked up in the same sort,
+by the two ranks that cover it. In each interval the first suffix is the first copy, the others are later ones.
+
+Maximal repeated runs of `min_words` words are unions of minimal ones (from each start the shortest, to each end the
+shortest), so intervals of these lengths tell all that is deleted, and no round goes beyond `min_words` units.
+
+Sorts are by range with the place as last key, so an interval with a third of all rows is spread over partitions;
+what crosses a partition's end is settled from one row per partition.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,21 +26,28 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import materialise, slices, small_batches, table, words_of
 
 #: Units keep their separator at their end: joined they are the text.
 CUT = re.compile(rb"(?<=\n)|(?<=[.!?] )")
+#: Stands for a null doc_id.
+NO_ID = -(1 << 63)
 
 
 @dataclass(frozen=True)
 class LineDedupParams:
-    """min_words: a repeated run is deleted from this many words. A passage of over 50 words that was
+    """min_words: a repeated run is deleted from this many words (1 to 62). A passage of over 50 words that was
     pasted into the middle of lines has only its whole sentences in common, hence the lower bound."""
 
     min_words: int = 16
 
+    def __post_init__(self):
+        if not 1 <= self.min_words <= 62:
+            raise ValueError("min_words is 1 to 62")
+
 
 def units_of(text: bytes) -> list[bytes]:
     """As CUT.split(text), by marks where no mark is in the text already."""
@@ -47,134 +58,205 @@ def units_of(text: bytes) -> list[bytes]:
     return text.split(b"\0")
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, pos, lid, w): the units that have a word; th is the whole text's hash.
+def wanted(w: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, top) for each unit of a document, of w words each. Bit m: the run of m units from here is a minimal one, that is,
+    the shortest from its start or to its end with min_words words. top: units of the longest such run over this unit and the next."""
+    n, i = len(w), np.arange(len(w))
+    total = np.concatenate(([0], np.cumsum(w)))
+    ends = np.searchsorted(total, total[:-1] + min_words)
+    starts = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    fwd, bwd = ends <= n, starts >= 0
+    s, e = np.concatenate((i[fwd], starts[bwd])), np.concatenate((ends[fwd], i[bwd] + 1))
+    bits, top = np.zeros(n, np.int64), np.zeros(n, np.int8)
+    np.bitwise_or.at(bits, s, np.int64(1) << (e - s))
+    for length in np.unique(e - s).tolist():
+        if length > 1:
+            cover = np.zeros(n + 1, np.int64)
+            at = s[e - s == length]
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + length - 1, -1)
+            top[np.cumsum(cover[:-1]) > 0] = length
+    return bits, top
+
+
+ROWS = "a long, b long, m byte, doc_id long, th int, pos int, bits long, top byte"
 
-    Rows of equal doc_id and text are one document.
+
+def _rows(*columns) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int8())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["a", "b", "m", "doc_id", "th", "pos", "bits", "top"])
+
+
+def units(docs: DataFrame, params: LineDedupParams) -> DataFrame:
+    """Rows of the first sort: each unit that is a minimal run by itself (m = 1, a its hash), and each pair of neighbours
+    within one (m = 2, a the hash of both). th is half of the text's hash; rows of equal doc_id and text are one document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, th_of = xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest
         for b in slices(batches):
-            doc, th, pos, lid, n = [], [], [], [], []
+            out: list[tuple] = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not t:
+                found = [(h(u.strip()), n) for u in units_of(t) if (n := len(u.split()))] if t else []
+                if not found:
                     continue
-                mine = th_of(t, 42)  # as Spark's xxhash64()
-                k = 0
-                for u in units_of(t):
-                    w = len(u.split())
-                    if w:
-                        pos.append(k)
-                        lid.append(h(u.strip()))
-                        n.append(w)
-                        k += 1
-                doc += [d] * k
-                th += [mine] * k
-            as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), as_long(th), pa.array(pos, pa.int32()), as_long(lid), pa.array(n, pa.int32())], ["doc_id", "th", "pos", "lid", "w"]
-            )
-
-    return small_batches(docs).select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8")).mapInArrow(run, "doc_id long, th long, pos int, lid long, w int")
-
-
-def _pair(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+                lid, w = np.array([x for x, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
+                bits, top = wanted(w, params.min_words)
+                one, two = np.flatnonzero(bits & 2), np.flatnonzero(top)
+                n = len(one) + len(two)
+                with np.errstate(over="ignore"):
+                    pair = _mixed(lid[two] * np.uint64(0x9E3779B97F4A7C15) + _mixed(lid[two + 1]))
+                th = np.uint64(th_of(t, 42)).astype(np.int64) >> 32  # the upper half of Spark's xxhash64()
+                at = np.concatenate((one, two))
+                out.append((np.concatenate((lid[one], pair)).view(np.int64), np.repeat(np.int8([1, 2]), (len(one), len(two))), np.full(n, NO_ID if d is None else d), np.full(n, th), at, bits[at], np.concatenate((np.zeros(len(one), np.int8), top[two]))))
+            if out:
+                a, m, doc, th, pos, bits, top = (np.concatenate(c) for c in zip(*out))
+                yield _rows(a, np.zeros(len(a), np.int64), m, doc, th.astype(np.int32), pos.astype(np.int32), bits, top)
+
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8")).mapInArrow(run, ROWS)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ np.uint64(salt)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0x94D049BB133111EB)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def minimal_runs(breaks: np.ndarray, lid: np.ndarray, w: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, name, second name) of the minimal runs of min_words words.
+PLACED = "part int, start long, head boolean, edge byte, m byte, doc_id long, th int, pos int, bits long, top byte, note string"
 
-    breaks: True where a unit doesn't follow the one before it. From every start the
-    shortest run forward, to every end the shortest run backward.
-    """
-    n = len(lid)
-    group = np.cumsum(breaks)
-    total = np.concatenate(([0], np.cumsum(w)))
-    ends = np.searchsorted(total, total[:-1] + min_words)  # exclusive end of the forward run
-    starts = np.searchsorted(total, total[1:] - min_words, side="right") - 1
-    i = np.arange(n)
-    fwd = (ends <= n) & (group[np.minimum(ends, n) - 1] == group)
-    bwd = (starts >= 0) & (group[np.maximum(starts, 0)] == group)
-    s = np.concatenate((i[fwd], starts[bwd]))
-    e = np.concatenate((ends[fwd], i[bwd] + 1))
-    if not len(s):
-        z = np.zeros(0, np.int64)
-        return z, z, z, z
-    se = np.unique(np.stack((s, e), 1), axis=0)
-    s, length = se[:, 0], se[:, 1] - se[:, 0]
-    out = []
-    level = np.frexp(length.astype(float))[1] - 1  # the largest power of two within
-    for salt in (1, 2):
-        name, found = _pair(lid, lid, salt), np.zeros(len(s), np.uint64)
-        for k in range(int(level.max()) + 1):
-            here = level == k
-            found[here] = _pair(name[s[here]], name[s[here] + length[here] - (1 << k)], salt + 2 * k)
-            if n > 1 << k:  # names of twice the length; those that cross a break are never used
-                name = np.append(_pair(name[: -(1 << k)], name[1 << k :], salt + 100 + k), name[n - (1 << k) :])
-        out.append(found.view(np.int64))
-    return s, length, out[0], out[1]
-
-
-def runs(repeated: DataFrame, min_words: int) -> DataFrame:
-    """(name, name2, length, doc_id, th, start) of the minimal runs in units sorted by document."""
+
+def ranked(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Sorts the rows by (a, b, m) over ranges; those with equal keys are an interval. Intervals of one row go. Gives
+    (later copies: doc_id, th, pos, m; suffixes of longer wanted runs: doc_id, th, pos, bits, top, rank)."""
+    keys = ["a", "b", "m", "doc_id", "th", "pos"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held: list[np.ndarray] | None = None  # the last row: whether its interval goes on isn't known yet
+        first = last = None
+        count = start = 0
+
+        def emit(cols: list[np.ndarray], at_end: bool) -> pa.RecordBatch:
+            """All rows but the last, which is held back, or all of them at the partition's end."""
+            nonlocal start, last, count
+            same = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1]) & (cols[2][1:] == cols[2][:-1])
+            # one document may come in several rows of the table: its suffix is one
+            twin = same & (cols[3][1:] == cols[3][:-1]) & (cols[4][1:] == cols[4][:-1]) & (cols[5][1:] == cols[5][:-1])
+            if twin.any():
+                stay = np.append(~twin, True)
+                cols = [c[stay] for c in cols]
+                same = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1]) & (cols[2][1:] == cols[2][:-1])
+            size = len(cols[0]) if at_end else len(cols[0]) - 1
+            key = tuple(int(c[0]) for c in cols[:3])
+            head = np.append(last != key, ~same)[:size] if len(cols[0]) else np.zeros(0, bool)
+            after = np.append(same, False)[:size]
+            index = count + np.arange(size)
+            begin = np.maximum(np.maximum.accumulate(np.where(head, index, -1)), start) if size else index
+            if size:
+                start, last = int(begin[-1]), tuple(int(c[size - 1]) for c in cols[:3])
+            alone = head & ~after
+            edge = np.where(alone, (index == 0) + 2 * ((index == count + size - 1) & at_end), 0)
+            count += size
+            use = (~alone | (edge > 0)) & (((cols[6][:size] >> cols[2][:size]) & 1 == 1) | (cols[7][:size] > cols[2][:size]))
+            arrays = [np.full(int(use.sum()), part), begin[use], head[use], edge[use], *(c[:size][use] for c in cols[2:])]
+            kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.int8(), pa.int8(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int8())
+            return pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(arrays, kinds)), pa.nulls(int(use.sum()), pa.string())], NAMES)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [b.column(k).to_numpy() for k in range(8)]
+            cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+            first = first or tuple(int(c[0]) for c in cols[:3])
+            out = emit(cols, False)
+            held = [c[-1:] for c in cols]
+            yield out
+        if held is not None:
+            out = emit(held, True)
+            yield out
+            note = json.dumps([count, first, last, start])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.nulls(1, out.schema.field(k).type) for k in range(1, 10)), pa.array([note])], NAMES)
+
+    NAMES = ["part", "start", "head", "edge", "m", "doc_id", "th", "pos", "bits", "top", "note"]
+    ordered = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    placed = materialise(ordered.mapInArrow(run, PLACED), name)
+    ends = _ends(placed)
+    d = placed.where("note is null").join(F.broadcast(ends), "part")
+    goes_on = (F.col("start") == 0) & F.col("joins_last")
+    alive = (F.col("edge") == 0) | goes_on | ((F.col("edge") >= 2) & F.col("joins_next"))
+    rank = F.when(F.col("start") == 0, F.col("first_rank")).otherwise(F.col("base") + F.col("start"))
+    mine = F.expr("shiftright(bits, m) & 1") == 1
+    later = d.where(alive & mine & (~F.col("head") | goes_on)).select("doc_id", "th", "pos", "m")
+    longer = d.where(alive & (F.col("top") > F.col("m"))).select("doc_id", "th", "pos", "bits", "top", rank.alias("rank"))
+    return later, longer
+
+
+def _ends(placed: DataFrame) -> DataFrame:
+    """(part, base, first_rank, joins_last, joins_next) from the partitions' notes: one row each."""
+    notes = sorted((r["part"], *json.loads(r["note"])) for r in placed.where("note is not null").select("part", "note").collect())
+    out, base, last_key, last_rank = [], 0, None, 0
+    for part, count, first, last, start in notes:
+        joins = first == last_key
+        if joins:
+            out[-1][4] = True
+        first_rank = last_rank if joins else base
+        out.append([part, base, first_rank, joins, False])
+        last_key, last_rank = last, first_rank if start == 0 else base + start
+        base += count
+    return placed.sparkSession.createDataFrame([tuple(r) for r in out], "part int, base long, first_rank long, joins_last boolean, joins_next boolean")
+
+
+def doubled(longer: DataFrame, units_ranked: int) -> DataFrame:
+    """Rows of the next sort from suffixes ranked by their first so many units: pairs of ranks for twice as many, and for
+    each wanted run of a length between."""
+    size = units_ranked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
-        def emit(doc, known, th, pos, lid, w):
-            same = (doc[1:] == doc[:-1]) & (known[1:] == known[:-1]) & (th[1:] == th[:-1])
-            again = np.concatenate(([False], same & (pos[1:] == pos[:-1])))  # the same document twice
-            doc, known, th, pos, lid, w = (x[~again] for x in (doc, known, th, pos, lid, w))
-            same = (doc[1:] == doc[:-1]) & (known[1:] == known[:-1]) & (th[1:] == th[:-1])
-            breaks = np.concatenate(([True], ~(same & (pos[1:] == pos[:-1] + 1))))
-            s, length, a, b = minimal_runs(breaks, lid.view(np.uint64), w, min_words)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(a), pa.array(b), pa.array(length.astype(np.int32)), pa.array(doc[s], mask=~known[s]), pa.array(th[s]), pa.array(pos[s])],
-                ["name", "name2", "length", "doc_id", "th", "start"],
-            )
+        def emit(doc, th, pos, bits, top, rank):
+            new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])))
+            place = np.cumsum(new) << 32 | pos  # ascending: rows are sorted by document and place
+            parts = []
+            for m in range(size + 1, 2 * size + 1):
+                start = np.flatnonzero(top >= m if m == 2 * size else bits >> m & 1)
+                if len(start):
+                    to = place[start] + (m - size)
+                    k = np.minimum(np.searchsorted(place, to), len(place) - 1)
+                    ok = place[k] == to
+                    start, k = start[ok], k[ok]
+                    parts.append((rank[start], rank[k], np.full(len(start), m), doc[start], th[start], pos[start], bits[start], top[start] if m == 2 * size else np.zeros(len(start), np.int8)))
+            return _rows(*(np.concatenate(c) for c in zip(*parts))) if parts else None
 
         for b in batches:
             if not b.num_rows:
                 continue
-            ids = b.column(0)
-            part = [ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False), *(b.column(k).to_numpy() for k in range(1, 5))]
+            part = [b.column(k).to_numpy() for k in range(6)]
             if rest is not None:
                 part = [np.concatenate(x) for x in zip(rest, part)]
-            last = (part[0] == part[0][-1]) & (part[1] == part[1][-1]) & (part[2] == part[2][-1])
-            cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0  # the last document may go on
+            open_ = (part[0] == part[0][-1]) & (part[1] == part[1][-1])  # the last document may go on
+            cut = int(len(open_) - np.argmin(open_[::-1])) if not open_.all() else 0
             rest = [x[cut:] for x in part]
-            if cut:
-                yield emit(*(x[:cut] for x in part))
-        if rest is not None:
-            yield emit(*rest)
+            if cut and (out := emit(*(x[:cut] for x in part))) is not None:
+                yield out
+        if rest is not None and (out := emit(*rest)) is not None:
+            yield out
 
-    return repeated.select("doc_id", "th", "pos", "lid", F.col("w").cast("long")).mapInArrow(
-        run, "name long, name2 long, length int, doc_id long, th long, start int"
-    )
+    n = int(longer.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_doc = longer.select("doc_id", "th", "pos", "bits", "top", "rank").repartition(n, "doc_id", "th").sortWithinPartitions("doc_id", "th", "pos")
+    return by_doc.mapInArrow(run, ROWS)
 
 
 def deletions(docs: DataFrame, params: LineDedupParams) -> DataFrame:
-    """(doc_id, th, gone): for each document with later copies, their [start, length] pairs."""
-    spark = docs.sparkSession
-    all_units = materialise(units(docs), "line-units")
-    # written first, so that the join reads plain shuffles on both sides and AQE can split a very common unit's rows
-    again = materialise(all_units.groupBy("lid").agg(F.count("*").alias("n")).where("n > 1").select("lid"), "line-repeated")
-    repeated = all_units.join(again, "lid", "left_semi")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_doc = repeated.repartition(n, "doc_id", "th").sortWithinPartitions("doc_id", "th", "pos")
-    found = materialise(runs(by_doc, params.min_words), "line-runs")
-    here = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("th").alias("t"), F.col("start").alias("s"))
-    key = ["name", "name2", "length"]
-    first = materialise(found.groupBy(*key).agg(F.count("*").alias("n"), F.min(here).alias("first")).where("n > 1").drop("n"), "line-first")
-    later = found.join(first, key).where(here != F.col("first"))
-    return later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "length")).alias("gone"))  # bounded by the document's units
+    """(doc_id, th, gone): for each document with later copies, their (place, units)."""
+    later, longer = ranked(materialise(units(docs, params), "line-units"), "line-ranks")
+    size = 2
+    while size < params.min_words and not longer.isEmpty():
+        more, longer = ranked(doubled(longer, size), "line-ranks")
+        later, size = later.unionByName(more), 2 * size
+    return later.groupBy("doc_id", "th").agg(F.collect_list(F.struct(F.col("pos").alias("start"), F.col("m").alias("length"))).alias("gone"))  # bounded by the document's units
 
 
 def cleaned(text: str, gone: list) -> tuple[str, int, int]:
@@ -204,12 +286,10 @@ def dedup(docs: DataFrame, params: LineDedupParams = LineDedupParams()) -> DataF
     same text. Null and empty texts stay as they are. Other columns pass through, also those
     named like this operator's own (except n_deleted and words_deleted, which are replaced).
     """
-    gone = deletions(docs, params).select(
-        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__ld_id"), F.col("th").alias("__ld_th"), F.col("gone").alias("__ld_gone")
-    )
+    gone = deletions(docs, params).select(F.col("doc_id").alias("__ld_id"), F.col("th").alias("__ld_th"), F.col("gone").alias("__ld_gone"))
     keep = [c for c in docs.columns if c not in ("n_deleted", "words_deleted")]
     keyed = docs.select(
-        *[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__ld_id"), F.xxhash64("text").alias("__ld_th")
+        *[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__ld_id"), F.shiftright(F.xxhash64("text"), 32).cast("int").alias("__ld_th")
     )
     joined = keyed.join(gone, ["__ld_id", "__ld_th"], "left")
 

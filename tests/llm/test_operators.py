@@ -556,6 +556,68 @@ def test_line_dedup_is_brute_force(spark):
         assert want[k] or x["text"] == docs[k]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_intervals_across_partitions(spark, seed):
+    """The sort of a round, with more partitions than some intervals are long and fewer than others: first copies, later
+    ones, ranks in the order of the keys, rows alone left out, one document twice."""
+    r = random.Random(seed)
+    keys = [(r.randrange(-3, 4), r.choice((0, 0, 0, 7)), r.choice((1, 2))) for _ in range(60)] + [(5, 5, 2)] * 200 + [(900 + k, 0, 2) for k in range(5)]
+    rows = [(a, b, m, r.randrange(30), r.randrange(2), k, r.choice((0, 1 << m, 6)), r.choice((0, 3, 8))) for k, (a, b, m) in enumerate(keys)]
+    table_ = rows + rows[:20]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", (3, 17, 60)[seed - 1])
+    try:
+        later, longer = linededup.ranked(spark.createDataFrame(table_, linededup.ROWS), "test-ranks")
+        later, longer = later.collect(), longer.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    groups = {}
+    for x in sorted(rows, key=lambda x: (*x[:3], *x[3:6])):
+        groups.setdefault(x[:3], []).append(x)
+    want = sorted((x[3], x[4], x[5], k[2]) for k, g in groups.items() for x in g[1:] if x[6] >> k[2] & 1)
+    assert sorted((x["doc_id"], x["th"], x["pos"], x["m"]) for x in later) == want and want
+    rank = {x["pos"]: x["rank"] for x in longer}
+    assert set(rank) == {x[5] for k, g in groups.items() if len(g) > 1 for x in g if x[7] > k[2]}
+    by_key = {}
+    for pos, value in rank.items():
+        by_key.setdefault(keys[pos], set()).add(value)
+    assert all(len(v) == 1 for v in by_key.values()) and [by_key[k] for k in sorted(by_key)] == sorted(by_key.values(), key=min)
+    assert len({min(v) for v in by_key.values()}) == len(by_key)
+
+
+@pytest.mark.parametrize("seed,words", [(4, 16), (5, 3), (6, 40)])
+def test_line_dedup_of_long_runs_is_brute_force(spark, seed, words):
+    """Few different units, long repeats, overlaps with oneself, many partitions; runs of up to `words` units."""
+    r = random.Random(seed)
+    bits = ["a.", "b b.", "c c c.", " ".join(VOCAB[:7]) + ".", " ".join(VOCAB[9:30]) + "."]
+    shared = [r.choice(bits) for _ in range(30)]
+    docs = {k: " ".join([r.choice(bits) for _ in range(r.randint(0, 12))] + shared[r.randrange(10) : r.randint(10, 30)] + [r.choice(bits) for _ in range(r.randint(0, 5))]) for k in range(14)}
+    docs[20] = " ".join(["a."] * 60)
+    d = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in docs.items()], DOCS)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 13)
+    try:
+        got = {x["doc_id"]: x["n_deleted"] for x in linededup.dedup(d, linededup.LineDedupParams(min_words=words)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {k: len(v) for k, v in slow_line_dedup(docs, words).items()} and any(got.values())
+
+
+def test_minimal_runs_are_told_apart():
+    r = random.Random(13)
+    for _ in range(60):
+        w, least = [r.choice((1, 1, 2, 5, 20)) for _ in range(r.randint(1, 25))], r.choice((1, 4, 16))
+        runs = set()
+        for i in range(len(w)):
+            fwd = next((j for j in range(i + 1, len(w) + 1) if sum(w[i:j]) >= least), None)
+            bwd = next((s for s in range(i, -1, -1) if sum(w[s : i + 1]) >= least), None)
+            runs |= {(i, fwd - i)} if fwd else set()
+            runs |= {(bwd, i + 1 - bwd)} if bwd is not None else set()
+        bits, top = linededup.wanted(np.array(w), least)
+        assert {(i, m) for i in range(len(w)) for m in range(1, 63) if int(bits[i]) >> m & 1} == runs
+        assert top.tolist() == [max((m for s, m in runs if s <= i and i + 1 < s + m), default=0) for i in range(len(w))]
+
+
 def test_pasted_passage_goes_from_later_documents(spark):
     passage = prose(68, 77)
     docs = [(k, prose(40, 200 + k) + "\n" + prose(30, 300 + k).rstrip(".") + " " + passage + " and so on. " + prose(20, 400 + k), "en", "a", 0) for k in range(6)]
