@@ -58,33 +58,37 @@ def units_of(text: bytes) -> list[bytes]:
     return text.split(b"\0")
 
 
-def wanted(w: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bits, top) for each unit of a document, of w words each. Bit m: the run of m units from here is a minimal one, that is,
-    the shortest from its start or to its end with min_words words. top: units of the longest such run over this unit and the next."""
+def wanted(w: np.ndarray, doc: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, need) for each unit, of w words and in the document doc (equal numbers side by side). Bit m of bits: the run of
+    m units from here is a minimal one, that is, the shortest from its start or to its end with min_words words. Bit k of need:
+    the rank of the first 2^k units from here (k at least 1) names a longer such run, by itself or by ranks made of it."""
     n, i = len(w), np.arange(len(w))
+    bits, need = np.zeros(n, np.int64), np.zeros(n, np.int8)
+    if not n:
+        return bits, need
     total = np.concatenate(([0], np.cumsum(w)))
     ends = np.searchsorted(total, total[:-1] + min_words)
     starts = np.searchsorted(total, total[1:] - min_words, side="right") - 1
-    fwd, bwd = ends <= n, starts >= 0
-    s, e = np.concatenate((i[fwd], starts[bwd])), np.concatenate((ends[fwd], i[bwd] + 1))
-    bits, top = np.zeros(n, np.int64), np.zeros(n, np.int8)
-    np.bitwise_or.at(bits, s, np.int64(1) << (e - s))
-    for length in np.unique(e - s).tolist():
-        if length > 1:
-            cover = np.zeros(n + 1, np.int64)
-            at = s[e - s == length]
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + length - 1, -1)
-            top[np.cumsum(cover[:-1]) > 0] = length
-    return bits, top
+    fwd = (ends <= n) & (doc[np.minimum(ends, n) - 1] == doc)
+    bwd = (starts >= 0) & (doc[np.maximum(starts, 0)] == doc)
+    s, length = np.concatenate((i[fwd], starts[bwd])), np.concatenate(((ends - i)[fwd], (i + 1 - starts)[bwd]))
+    runs = {m: s[length == m] for m in np.unique(length).tolist()}
+    for m, at in runs.items():
+        bits[at] |= 1 << m
+    above = np.zeros(0, np.int64)  # starts whose first 2^(k+1) units want a rank
+    for k in range(max([2, *runs]).bit_length(), 0, -1):
+        at = [x for m, found in runs.items() if 1 << k < m <= 2 << k for x in (found, found + m - (1 << k))]
+        above = np.unique(np.concatenate([*at, above, above + (1 << k)]).astype(np.int64))
+        need[above] |= np.int8(1 << k)
+    return bits, need
 
 
-ROWS = "a long, b long, m byte, doc_id long, th int, pos int, bits long, top byte"
+ROWS = "a long, b long, m byte, doc_id long, th int, pos int, bits long, need byte"
 
 
 def _rows(*columns) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int8())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["a", "b", "m", "doc_id", "th", "pos", "bits", "top"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["a", "b", "m", "doc_id", "th", "pos", "bits", "need"])
 
 
 def units(docs: DataFrame, params: LineDedupParams) -> DataFrame:
@@ -94,24 +98,24 @@ def units(docs: DataFrame, params: LineDedupParams) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, th_of = xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest
-        for b in slices(batches):
-            out: list[tuple] = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = [(h(u.strip()), n) for u in units_of(t) if (n := len(u.split()))] if t else []
-                if not found:
-                    continue
-                lid, w = np.array([x for x, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
-                bits, top = wanted(w, params.min_words)
-                one, two = np.flatnonzero(bits & 2), np.flatnonzero(top)
-                n = len(one) + len(two)
-                with np.errstate(over="ignore"):
-                    pair = _mixed(lid[two] * np.uint64(0x9E3779B97F4A7C15) + _mixed(lid[two + 1]))
-                th = np.uint64(th_of(t, 42)).astype(np.int64) >> 32  # the upper half of Spark's xxhash64()
-                at = np.concatenate((one, two))
-                out.append((np.concatenate((lid[one], pair)).view(np.int64), np.repeat(np.int8([1, 2]), (len(one), len(two))), np.full(n, NO_ID if d is None else d), np.full(n, th), at, bits[at], np.concatenate((np.zeros(len(one), np.int8), top[two]))))
-            if out:
-                a, m, doc, th, pos, bits, top = (np.concatenate(c) for c in zip(*out))
-                yield _rows(a, np.zeros(len(a), np.int64), m, doc, th.astype(np.int32), pos.astype(np.int32), bits, top)
+        for b in slices(batches, 256):
+            ids, texts, lids, words, counts, hashes = b.column(0).fill_null(NO_ID).to_numpy(), b.column(1).to_pylist(), [], [], [], []
+            for t in texts:
+                found = [(u, n) for u in units_of(t) if (n := len(u.split()))] if t else []
+                lids += [h(u.strip()) for u, _ in found]
+                words += [n for _, n in found]
+                counts.append(len(found))
+                hashes.append(th_of(t, 42) if found else 0)
+            lid, w, number = np.array(lids, np.uint64), np.array(words, np.int64), np.repeat(np.arange(len(texts)), counts)
+            pos = np.arange(len(lid)) - np.repeat(np.cumsum(counts) - counts, counts)
+            bits, need = wanted(w, number, params.min_words)
+            one, two = np.flatnonzero(bits & 2), np.flatnonzero((bits & 4) | (need & 2))
+            with np.errstate(over="ignore"):
+                pair = _mixed(lid[two] * np.uint64(0x9E3779B97F4A7C15) + _mixed(lid[two + 1]))
+            at = np.concatenate((one, two))
+            doc, th = ids[number[at]], (np.array(hashes, np.uint64).view(np.int64) >> 32)[number[at]]  # the upper half of Spark's xxhash64()
+            m = np.repeat(np.int8([1, 2]), (len(one), len(two)))
+            yield _rows(np.concatenate((lid[one], pair)).view(np.int64), np.zeros(len(at), np.int64), m, doc, th.astype(np.int32), pos[at].astype(np.int32), bits[at], np.where(m == 2, need[at], 0).astype(np.int8))
 
     return small_batches(docs).select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8")).mapInArrow(run, ROWS)
 
@@ -123,12 +127,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-PLACED = "part int, start long, head boolean, edge byte, m byte, doc_id long, th int, pos int, bits long, top byte, note string"
+PLACED = "part int, start long, head boolean, edge byte, m byte, doc_id long, th int, pos int, bits long, need byte, note string"
+#: k by m = 2^k units, 7 for other lengths: no rank is needed of those.
+LEVEL = np.array([m.bit_length() - 1 if m > 1 and m & (m - 1) == 0 else 7 for m in range(64)], np.int8)
 
 
-def ranked(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+def ranked(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
     """Sorts the rows by (a, b, m) over ranges; those with equal keys are an interval. Intervals of one row go. Gives
-    (later copies: doc_id, th, pos, m; suffixes of longer wanted runs: doc_id, th, pos, bits, top, rank)."""
+    (later copies: doc_id, th, pos, m; suffixes whose rank is needed: doc_id, th, pos, bits, need, rank, or None)."""
     keys = ["a", "b", "m", "doc_id", "th", "pos"]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -136,11 +142,11 @@ def ranked(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         part = TaskContext.get().partitionId()
         held: list[np.ndarray] | None = None  # the last row: whether its interval goes on isn't known yet
         first = last = None
-        count = start = 0
+        count = start = going = 0
 
         def emit(cols: list[np.ndarray], at_end: bool) -> pa.RecordBatch:
             """All rows but the last, which is held back, or all of them at the partition's end."""
-            nonlocal start, last, count
+            nonlocal start, last, count, going
             same = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1]) & (cols[2][1:] == cols[2][:-1])
             # one document may come in several rows of the table: its suffix is one
             twin = same & (cols[3][1:] == cols[3][:-1]) & (cols[4][1:] == cols[4][:-1]) & (cols[5][1:] == cols[5][:-1])
@@ -159,7 +165,9 @@ def ranked(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
             alone = head & ~after
             edge = np.where(alone, (index == 0) + 2 * ((index == count + size - 1) & at_end), 0)
             count += size
-            use = (~alone | (edge > 0)) & (((cols[6][:size] >> cols[2][:size]) & 1 == 1) | (cols[7][:size] > cols[2][:size]))
+            on = (cols[7][:size] >> LEVEL[cols[2][:size]]) & 1 == 1
+            use = (~alone | (edge > 0)) & (((cols[6][:size] >> cols[2][:size]) & 1 == 1) | on)
+            going += int((use & on).sum())
             arrays = [np.full(int(use.sum()), part), begin[use], head[use], edge[use], *(c[:size][use] for c in cols[2:])]
             kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.int8(), pa.int8(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int8())
             return pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(arrays, kinds)), pa.nulls(int(use.sum()), pa.string())], NAMES)
@@ -176,28 +184,32 @@ def ranked(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         if held is not None:
             out = emit(held, True)
             yield out
-            note = json.dumps([count, first, last, start])
+            note = json.dumps([count, first, last, start, going])
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.nulls(1, out.schema.field(k).type) for k in range(1, 10)), pa.array([note])], NAMES)
 
-    NAMES = ["part", "start", "head", "edge", "m", "doc_id", "th", "pos", "bits", "top", "note"]
+    NAMES = ["part", "start", "head", "edge", "m", "doc_id", "th", "pos", "bits", "need", "note"]
     ordered = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     placed = materialise(ordered.mapInArrow(run, PLACED), name)
-    ends = _ends(placed)
+    ends, going = _ends(placed)
     d = placed.where("note is null").join(F.broadcast(ends), "part")
     goes_on = (F.col("start") == 0) & F.col("joins_last")
     alive = (F.col("edge") == 0) | goes_on | ((F.col("edge") >= 2) & F.col("joins_next"))
     rank = F.when(F.col("start") == 0, F.col("first_rank")).otherwise(F.col("base") + F.col("start"))
     mine = F.expr("shiftright(bits, m) & 1") == 1
     later = d.where(alive & mine & (~F.col("head") | goes_on)).select("doc_id", "th", "pos", "m")
-    longer = d.where(alive & (F.col("top") > F.col("m"))).select("doc_id", "th", "pos", "bits", "top", rank.alias("rank"))
-    return later, longer
+    on = F.lit(False)
+    for m, k in enumerate(LEVEL.tolist()):
+        on = on | (F.col("m") == m) & (F.col("need").bitwiseAND(1 << k) != 0) if k < 7 else on
+    longer = d.where(alive & on).select("doc_id", "th", "pos", "bits", "need", rank.alias("rank"))
+    return later, longer if going else None
 
 
-def _ends(placed: DataFrame) -> DataFrame:
-    """(part, base, first_rank, joins_last, joins_next) from the partitions' notes: one row each."""
+def _ends(placed: DataFrame) -> tuple[DataFrame, int]:
+    """((part, base, first_rank, joins_last, joins_next) from the partitions' notes, one row each; rows that go on at most)."""
     notes = sorted((r["part"], *json.loads(r["note"])) for r in placed.where("note is not null").select("part", "note").collect())
-    out, base, last_key, last_rank = [], 0, None, 0
-    for part, count, first, last, start in notes:
+    out, base, last_key, last_rank, on = [], 0, None, 0, 0
+    for part, count, first, last, start, going in notes:
+        on += going
         joins = first == last_key
         if joins:
             out[-1][4] = True
@@ -205,7 +217,7 @@ def _ends(placed: DataFrame) -> DataFrame:
         out.append([part, base, first_rank, joins, False])
         last_key, last_rank = last, first_rank if start == 0 else base + start
         base += count
-    return placed.sparkSession.createDataFrame([tuple(r) for r in out], "part int, base long, first_rank long, joins_last boolean, joins_next boolean")
+    return placed.sparkSession.createDataFrame([tuple(r) for r in out], "part int, base long, first_rank long, joins_last boolean, joins_next boolean"), on
 
 
 def doubled(longer: DataFrame, units_ranked: int) -> DataFrame:
@@ -216,18 +228,18 @@ def doubled(longer: DataFrame, units_ranked: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
-        def emit(doc, th, pos, bits, top, rank):
+        def emit(doc, th, pos, bits, need, rank):
             new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])))
             place = np.cumsum(new) << 32 | pos  # ascending: rows are sorted by document and place
             parts = []
-            for m in range(size + 1, 2 * size + 1):
-                start = np.flatnonzero(top >= m if m == 2 * size else bits >> m & 1)
+            for m in range(size + 1, min(2 * size, 62) + 1):
+                start = np.flatnonzero((bits >> m & 1) | (need >> LEVEL[m] & 1))
                 if len(start):
                     to = place[start] + (m - size)
                     k = np.minimum(np.searchsorted(place, to), len(place) - 1)
                     ok = place[k] == to
                     start, k = start[ok], k[ok]
-                    parts.append((rank[start], rank[k], np.full(len(start), m), doc[start], th[start], pos[start], bits[start], top[start] if m == 2 * size else np.zeros(len(start), np.int8)))
+                    parts.append((rank[start], rank[k], np.full(len(start), m), doc[start], th[start], pos[start], bits[start], need[start] if m == 2 * size else np.zeros(len(start), np.int8)))
             return _rows(*(np.concatenate(c) for c in zip(*parts))) if parts else None
 
         for b in batches:
@@ -245,25 +257,26 @@ def doubled(longer: DataFrame, units_ranked: int) -> DataFrame:
             yield out
 
     n = int(longer.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_doc = longer.select("doc_id", "th", "pos", "bits", "top", "rank").repartition(n, "doc_id", "th").sortWithinPartitions("doc_id", "th", "pos")
+    by_doc = longer.select("doc_id", "th", "pos", "bits", "need", "rank").repartition(n, "doc_id", "th").sortWithinPartitions("doc_id", "th", "pos")
     return by_doc.mapInArrow(run, ROWS)
 
 
 def deletions(docs: DataFrame, params: LineDedupParams) -> DataFrame:
-    """(doc_id, th, gone): for each document with later copies, their (place, units)."""
+    """(doc_id, th, gone): for each document with later copies, their places, times 64, plus their units."""
     later, longer = ranked(materialise(units(docs, params), "line-units"), "line-ranks")
     size = 2
-    while size < params.min_words and not longer.isEmpty():
+    while longer is not None:
         more, longer = ranked(doubled(longer, size), "line-ranks")
         later, size = later.unionByName(more), 2 * size
-    return later.groupBy("doc_id", "th").agg(F.collect_list(F.struct(F.col("pos").alias("start"), F.col("m").alias("length"))).alias("gone"))  # bounded by the document's units
+    run = F.shiftleft(F.col("pos").cast("long"), 6).bitwiseOR(F.col("m").cast("long"))
+    return later.groupBy("doc_id", "th").agg(F.collect_list(run).alias("gone"))  # bounded by the document's units
 
 
 def cleaned(text: str, gone: list) -> tuple[str, int, int]:
     """The text without the units in gone, how many, and their words."""
     drop: set[int] = set()
-    for g in gone:
-        drop.update(range(g["start"], g["start"] + g["length"]))
+    for g in set(gone):
+        drop.update(range(g >> 6, (g >> 6) + (g & 63)))
     out, k, lost, dropped = [], 0, 0, False
     for u in units_of(text.encode()):
         w = len(u.split())
@@ -295,7 +308,7 @@ def dedup(docs: DataFrame, params: LineDedupParams = LineDedupParams()) -> DataF
 
     @F.pandas_udf("text string, n_deleted int, words_deleted int")
     def clean(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
-        rows = [(None, 0, 0) if g is None else cleaned(t, g) for t, g in zip(text, gone)]
+        rows = [(None, 0, 0) if g is None else cleaned(t, g.tolist()) for t, g in zip(text, gone)]
         return pd.DataFrame(rows, columns=["text", "n_deleted", "words_deleted"])
 
     touched = F.col("__ld_gone").isNotNull()

@@ -562,7 +562,7 @@ def test_intervals_across_partitions(spark, seed):
     ones, ranks in the order of the keys, rows alone left out, one document twice."""
     r = random.Random(seed)
     keys = [(r.randrange(-3, 4), r.choice((0, 0, 0, 7)), r.choice((1, 2))) for _ in range(60)] + [(5, 5, 2)] * 200 + [(900 + k, 0, 2) for k in range(5)]
-    rows = [(a, b, m, r.randrange(30), r.randrange(2), k, r.choice((0, 1 << m, 6)), r.choice((0, 3, 8))) for k, (a, b, m) in enumerate(keys)]
+    rows = [(a, b, m, r.randrange(30), r.randrange(2), k, r.choice((0, 1 << m, 6)), r.choice((0, 2, 4, 6)) if m == 2 else 0) for k, (a, b, m) in enumerate(keys)]
     table_ = rows + rows[:20]
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", (3, 17, 60)[seed - 1])
@@ -577,7 +577,7 @@ def test_intervals_across_partitions(spark, seed):
     want = sorted((x[3], x[4], x[5], k[2]) for k, g in groups.items() for x in g[1:] if x[6] >> k[2] & 1)
     assert sorted((x["doc_id"], x["th"], x["pos"], x["m"]) for x in later) == want and want
     rank = {x["pos"]: x["rank"] for x in longer}
-    assert set(rank) == {x[5] for k, g in groups.items() if len(g) > 1 for x in g if x[7] > k[2]}
+    assert set(rank) == {x[5] for k, g in groups.items() if len(g) > 1 for x in g if x[7] & 2}
     by_key = {}
     for pos, value in rank.items():
         by_key.setdefault(keys[pos], set()).add(value)
@@ -604,18 +604,26 @@ def test_line_dedup_of_long_runs_is_brute_force(spark, seed, words):
 
 
 def test_minimal_runs_are_told_apart():
+    """Runs of each document, and the ranks that their names are made of: those of one level are enough for the level below."""
     r = random.Random(13)
     for _ in range(60):
-        w, least = [r.choice((1, 1, 2, 5, 20)) for _ in range(r.randint(1, 25))], r.choice((1, 4, 16))
-        runs = set()
-        for i in range(len(w)):
-            fwd = next((j for j in range(i + 1, len(w) + 1) if sum(w[i:j]) >= least), None)
-            bwd = next((s for s in range(i, -1, -1) if sum(w[s : i + 1]) >= least), None)
-            runs |= {(i, fwd - i)} if fwd else set()
-            runs |= {(bwd, i + 1 - bwd)} if bwd is not None else set()
-        bits, top = linededup.wanted(np.array(w), least)
-        assert {(i, m) for i in range(len(w)) for m in range(1, 63) if int(bits[i]) >> m & 1} == runs
-        assert top.tolist() == [max((m for s, m in runs if s <= i and i + 1 < s + m), default=0) for i in range(len(w))]
+        docs = [[r.choice((1, 1, 2, 5, 20)) for _ in range(r.randint(0, 14))] for _ in range(3)]
+        least, runs, at = r.choice((1, 4, 16)), set(), 0
+        for w in docs:
+            for i in range(len(w)):
+                fwd = next((j for j in range(i + 1, len(w) + 1) if sum(w[i:j]) >= least), None)
+                bwd = next((s for s in range(i, -1, -1) if sum(w[s : i + 1]) >= least), None)
+                runs |= {(at + i, fwd - i)} if fwd else set()
+                runs |= {(at + bwd, i + 1 - bwd)} if bwd is not None else set()
+            at += len(w)
+        bits, need = linededup.wanted(np.array(sum(docs, []), np.int64), np.repeat(np.arange(3), list(map(len, docs))), least)
+        assert {(i, m) for i in range(at) for m in range(1, 63) if int(bits[i]) >> m & 1} == runs
+        want = {k: set() for k in range(1, 8)}
+        for k in range(6, 0, -1):
+            for s, m in runs:
+                want[k] |= {s, s + m - (1 << k)} if 1 << k < m <= 2 << k else set()
+            want[k] |= want[k + 1] | {j + (1 << k) for j in want[k + 1]}
+        assert {k: {i for i in range(at) if int(need[i]) >> k & 1} for k in range(1, 7)} == {k: want[k] for k in range(1, 7)}
 
 
 def test_pasted_passage_goes_from_later_documents(spark):
