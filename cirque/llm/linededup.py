@@ -5,8 +5,8 @@ passage pasted into the middle of a line is still a run of whole units. Its suff
 their first 2, 4, 8, .. units: a round sorts the pairs (rank, rank 2^k units on) of all live suffixes over
 ranges of the whole corpus, the place in that order is the next rank, and a suffix whose rank is its own
 is dropped. Suffixes that are equal in their first m units stand together: an interval of the array
-whose longest common prefixes are m units at least. Any m within 2^k and 2^(k+1) is looked up in the same sort,
-by the two ranks that cover it. In each interval the first suffix is the first copy, the others are later ones.
+whose longest common prefixes are m units at least. Any m between 2^k and 2^(k+1) is looked up in the same sort,
+by the two ranks that cover it; up to 4 units, by a hash. In each interval the first suffix is the first copy, the others are later ones.
 
 Maximal repeated runs of `min_words` words are unions of minimal ones (from each start the shortest, to each end the
 shortest), so intervals of these lengths tell all that is deleted, and no round goes beyond `min_words` units.
@@ -61,7 +61,7 @@ def units_of(text: bytes) -> list[bytes]:
 def wanted(w: np.ndarray, doc: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """(bits, need) for each unit, of w words and in the document doc (equal numbers side by side). Bit m of bits: the run of
     m units from here is a minimal one, that is, the shortest from its start or to its end with min_words words. Bit k of need:
-    the rank of the first 2^k units from here (k at least 1) names a longer such run, by itself or by ranks made of it."""
+    the rank of the first 2^k units from here (k at least 2) names a longer such run, by itself or by ranks made of it."""
     n, i = len(w), np.arange(len(w))
     bits, need = np.zeros(n, np.int64), np.zeros(n, np.int8)
     if not n:
@@ -76,7 +76,7 @@ def wanted(w: np.ndarray, doc: np.ndarray, min_words: int) -> tuple[np.ndarray,
     for m, at in runs.items():
         bits[at] |= 1 << m
     above = np.zeros(0, np.int64)  # starts whose first 2^(k+1) units want a rank
-    for k in range(max([2, *runs]).bit_length(), 0, -1):
+    for k in range(max([2, *runs]).bit_length(), 1, -1):
         at = [x for m, found in runs.items() if 1 << k < m <= 2 << k for x in (found, found + m - (1 << k))]
         above = np.unique(np.concatenate([*at, above, above + (1 << k)]).astype(np.int64))
         need[above] |= np.int8(1 << k)
@@ -92,8 +92,8 @@ def _rows(*columns) -> pa.RecordBatch:
 
 
 def units(docs: DataFrame, params: LineDedupParams) -> DataFrame:
-    """Rows of the first sort: each unit that is a minimal run by itself (m = 1, a its hash), and each pair of neighbours
-    within one (m = 2, a the hash of both). th is half of the text's hash; rows of equal doc_id and text are one document.
+    """Rows of the first sort: each minimal run of m units up to FIRST, and each FIRST units whose rank is needed; a is
+    their hash. th is half of the text's hash; rows of equal doc_id and text are one document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,13 +109,14 @@ def units(docs: DataFrame, params: LineDedupParams) -> DataFrame:
             lid, w, number = np.array(lids, np.uint64), np.array(words, np.int64), np.repeat(np.arange(len(texts)), counts)
             pos = np.arange(len(lid)) - np.repeat(np.cumsum(counts) - counts, counts)
             bits, need = wanted(w, number, params.min_words)
-            one, two = np.flatnonzero(bits & 2), np.flatnonzero((bits & 4) | (need & 2))
-            with np.errstate(over="ignore"):
-                pair = _mixed(lid[two] * np.uint64(0x9E3779B97F4A7C15) + _mixed(lid[two + 1]))
-            at = np.concatenate((one, two))
-            doc, th = ids[number[at]], (np.array(hashes, np.uint64).view(np.int64) >> 32)[number[at]]  # the upper half of Spark's xxhash64()
-            m = np.repeat(np.int8([1, 2]), (len(one), len(two)))
-            yield _rows(np.concatenate((lid[one], pair)).view(np.int64), np.zeros(len(at), np.int64), m, doc, th.astype(np.int32), pos[at].astype(np.int32), bits[at], np.where(m == 2, need[at], 0).astype(np.int8))
+            th = np.array(hashes, np.uint64).view(np.int64) >> 32  # the upper half of Spark's xxhash64()
+            parts, name, n = [], lid, len(lid)
+            for m in range(1, FIRST + 1):
+                at = np.flatnonzero((bits >> m & 1) | (need >> LEVEL[m] & 1))
+                parts.append((name[at].view(np.int64), np.zeros(len(at), np.int64), np.full(len(at), m, np.int8), ids[number[at]], th[number[at]].astype(np.int32), pos[at].astype(np.int32), bits[at], need[at] if m == FIRST else np.zeros(len(at), np.int8)))
+                with np.errstate(over="ignore"):  # names of one unit more; those beyond a document's end are never used
+                    name = _mixed(name * np.uint64(0x9E3779B97F4A7C15) + _mixed(np.append(lid[m:], np.zeros(min(m, n), np.uint64))))
+            yield _rows(*(np.concatenate(c) for c in zip(*parts)))
 
     return small_batches(docs).select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8")).mapInArrow(run, ROWS)
 
@@ -127,6 +128,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Units whose order is by a hash; rounds double from there.
+FIRST = 4
 PLACED = "part int, start long, head boolean, edge byte, m byte, doc_id long, th int, pos int, bits long, need byte, note string"
 #: k by m = 2^k units, 7 for other lengths: no rank is needed of those.
 LEVEL = np.array([m.bit_length() - 1 if m > 1 and m & (m - 1) == 0 else 7 for m in range(64)], np.int8)
@@ -136,7 +139,6 @@ def ranked(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
     """Sorts the rows by (a, b, m) over ranges; those with equal keys are an interval. Intervals of one row go. Gives
     (later copies: doc_id, th, pos, m; suffixes whose rank is needed: doc_id, th, pos, bits, need, rank, or None)."""
     keys = ["a", "b", "m", "doc_id", "th", "pos"]
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -188,7 +190,7 @@ def ranked(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.nulls(1, out.schema.field(k).type) for k in range(1, 10)), pa.array([note])], NAMES)
 
     NAMES = ["part", "start", "head", "edge", "m", "doc_id", "th", "pos", "bits", "need", "note"]
-    ordered = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)  # later rounds are small: AQE joins their ranges
     placed = materialise(ordered.mapInArrow(run, PLACED), name)
     ends, going = _ends(placed)
     d = placed.where("note is null").join(F.broadcast(ends), "part")
@@ -256,15 +258,14 @@ def doubled(longer: DataFrame, units_ranked: int) -> DataFrame:
         if rest is not None and (out := emit(*rest)) is not None:
             yield out
 
-    n = int(longer.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_doc = longer.select("doc_id", "th", "pos", "bits", "need", "rank").repartition(n, "doc_id", "th").sortWithinPartitions("doc_id", "th", "pos")
+    by_doc = longer.select("doc_id", "th", "pos", "bits", "need", "rank").repartition("doc_id", "th").sortWithinPartitions("doc_id", "th", "pos")
     return by_doc.mapInArrow(run, ROWS)
 
 
 def deletions(docs: DataFrame, params: LineDedupParams) -> DataFrame:
     """(doc_id, th, gone): for each document with later copies, their places, times 64, plus their units."""
     later, longer = ranked(materialise(units(docs, params), "line-units"), "line-ranks")
-    size = 2
+    size = FIRST
     while longer is not None:
         more, longer = ranked(doubled(longer, size), "line-ranks")
         later, size = later.unionByName(more), 2 * size
