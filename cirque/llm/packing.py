@@ -28,9 +28,9 @@ TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 KIND = np.zeros(256, np.uint8)
 KIND[list(b"abcdefghijklmnopqrstuvwxyz0123456789")], KIND[list(b".,;:!?)")], KIND[list(b" \t\n\x0b\x0c\r")] = 1, 2, 4
 #: Chunks that a worker remembers at most, from task to task (some 40 bytes each), in a table of 2 ** TABLE_BITS places.
-CACHE, TABLE_BITS = 1_200_000, 22
+CACHE, TABLE_BITS = 700_000, 21
 #: Bytes of text that are cut, hashed and looked up at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 @dataclass(frozen=True)
