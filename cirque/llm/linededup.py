@@ -29,7 +29,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialise, slices, small_batches, table, words_of
+from .common import arrow_rows, materialise, slices, small_batches, table, words_of
 
 #: Units keep their separator at their end: joined they are the text.
 CUT = re.compile(rb"(?<=\n)|(?<=[.!?] )")
@@ -264,11 +264,12 @@ def doubled(longer: DataFrame, units_ranked: int) -> DataFrame:
 
 def deletions(docs: DataFrame, params: LineDedupParams) -> DataFrame:
     """(doc_id, th, gone): for each document with later copies, their places, times 64, plus their units."""
-    later, longer = ranked(materialise(units(docs, params), "line-units"), "line-ranks")
-    size = FIRST
-    while longer is not None:
-        more, longer = ranked(doubled(longer, size), "line-ranks")
-        later, size = later.unionByName(more), 2 * size
+    first, size = materialise(units(docs, params), "line-units"), FIRST
+    with arrow_rows(docs.sparkSession, 10_000):  # the rounds run here
+        later, longer = ranked(first, "line-ranks")
+        while longer is not None:
+            more, longer = ranked(doubled(longer, size), "line-ranks")
+            later, size = later.unionByName(more), 2 * size
     run = F.shiftleft(F.col("pos").cast("long"), 6).bitwiseOR(F.col("m").cast("long"))
     return later.groupBy("doc_id", "th").agg(F.collect_list(run).alias("gone"))  # bounded by the document's units
 
