@@ -135,9 +135,10 @@ PLACED = "part int, start long, head boolean, edge byte, m byte, doc_id long, th
 LEVEL = np.array([m.bit_length() - 1 if m > 1 and m & (m - 1) == 0 else 7 for m in range(64)], np.int8)
 
 
-def ranked(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
+def ranked(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None, Ends]:
     """Sorts the rows by (a, b, m) over ranges; those with equal keys are an interval. Intervals of one row go. Gives
-    (later copies: doc_id, th, pos, m; suffixes whose rank is needed: doc_id, th, pos, bits, need, rank, or None)."""
+    (later copies: doc_id, th, pos, m; suffixes whose rank is needed: doc_id, th, pos, bits, need, part, start, or None; what
+    makes ranks of part and start)."""
     keys = ["a", "b", "m", "doc_id", "th", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,36 +194,49 @@ def ranked(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)  # later rounds are small: AQE joins their ranges
     placed = materialise(ordered.mapInArrow(run, PLACED), name)
     ends, going = _ends(placed)
-    d = placed.where("note is null").join(F.broadcast(ends), "part")
-    goes_on = (F.col("start") == 0) & F.col("joins_last")
-    alive = (F.col("edge") == 0) | goes_on | ((F.col("edge") >= 2) & F.col("joins_next"))
-    rank = F.when(F.col("start") == 0, F.col("first_rank")).otherwise(F.col("base") + F.col("start"))
+    d = placed.where("note is null")
+    goes_on = (F.col("start") == 0) & F.col("part").isin(ends.joins_last)
+    alive = (F.col("edge") == 0) | goes_on | ((F.col("edge") >= 2) & F.col("part").isin(ends.joins_next))
     mine = F.expr("shiftright(bits, m) & 1") == 1
-    later = d.where(alive & mine & (~F.col("head") | goes_on)).select("doc_id", "th", "pos", "m")
+    later = d.where(mine & (~F.col("head") | goes_on)).select("doc_id", "th", "pos", "m")
     on = F.lit(False)
     for m, k in enumerate(LEVEL.tolist()):
         on = on | (F.col("m") == m) & (F.col("need").bitwiseAND(1 << k) != 0) if k < 7 else on
-    longer = d.where(alive & on).select("doc_id", "th", "pos", "bits", "need", rank.alias("rank"))
-    return later, longer if going else None
+    longer = d.where(alive & on).select("doc_id", "th", "pos", "bits", "need", "part", "start")
+    return later, longer if going else None, ends
 
 
-def _ends(placed: DataFrame) -> tuple[DataFrame, int]:
-    """((part, base, first_rank, joins_last, joins_next) from the partitions' notes, one row each; rows that go on at most)."""
+@dataclass(frozen=True)
+class Ends:
+    """What crosses the ends of partitions, a few numbers for each: the rank of a partition's first interval and of the
+    others' start 0; the partitions whose first interval goes on from the one before, and whose last one goes on."""
+
+    first: np.ndarray
+    base: np.ndarray
+    joins_last: list[int]
+    joins_next: list[int]
+
+    def rank(self, part: np.ndarray, start: np.ndarray) -> np.ndarray:
+        return np.where(start == 0, self.first[part], self.base[part] + start)
+
+
+def _ends(placed: DataFrame) -> tuple[Ends, int]:
+    """(ends, rows that go on at most) from the partitions' notes: one row each comes to the driver."""
     notes = sorted((r["part"], *json.loads(r["note"])) for r in placed.where("note is not null").select("part", "note").collect())
-    out, base, last_key, last_rank, on = [], 0, None, 0, 0
+    size = notes[-1][0] + 1 if notes else 0
+    ends = Ends(np.zeros(size, np.int64), np.zeros(size, np.int64), [], [])
+    count_so_far, last_key, last_part, last_rank, on = 0, None, 0, 0, 0
     for part, count, first, last, start, going in notes:
-        on += going
-        joins = first == last_key
-        if joins:
-            out[-1][4] = True
-        first_rank = last_rank if joins else base
-        out.append([part, base, first_rank, joins, False])
-        last_key, last_rank = last, first_rank if start == 0 else base + start
-        base += count
-    return placed.sparkSession.createDataFrame([tuple(r) for r in out], "part int, base long, first_rank long, joins_last boolean, joins_next boolean"), on
-
-
-def doubled(longer: DataFrame, units_ranked: int) -> DataFrame:
+        if first == last_key:
+            ends.joins_next.append(last_part)
+            ends.joins_last.append(part)
+        ends.base[part], ends.first[part] = count_so_far, last_rank if first == last_key else count_so_far
+        last_key, last_part, last_rank = last, part, int(ends.first[part]) if start == 0 else count_so_far + start
+        count_so_far, on = count_so_far + count, on + going
+    return ends, on
+
+
+def doubled(longer: DataFrame, units_ranked: int, ends: Ends) -> DataFrame:
     """Rows of the next sort from suffixes ranked by their first so many units: pairs of ranks for twice as many, and for
     each wanted run of a length between."""
     size = units_ranked
@@ -230,7 +244,8 @@ def doubled(longer: DataFrame, units_ranked: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
-        def emit(doc, th, pos, bits, need, rank):
+        def emit(doc, th, pos, bits, need, part, begin):
+            rank = ends.rank(part, begin)
             new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])))
             place = np.cumsum(new) << 32 | pos  # ascending: rows are sorted by document and place
             parts = []
@@ -247,7 +262,7 @@ def doubled(longer: DataFrame, units_ranked: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            part = [b.column(k).to_numpy() for k in range(6)]
+            part = [b.column(k).to_numpy() for k in range(7)]
             if rest is not None:
                 part = [np.concatenate(x) for x in zip(rest, part)]
             open_ = (part[0] == part[0][-1]) & (part[1] == part[1][-1])  # the last document may go on
@@ -258,7 +273,7 @@ def doubled(longer: DataFrame, units_ranked: int) -> DataFrame:
         if rest is not None and (out := emit(*rest)) is not None:
             yield out
 
-    by_doc = longer.select("doc_id", "th", "pos", "bits", "need", "rank").repartition("doc_id", "th").sortWithinPartitions("doc_id", "th", "pos")
+    by_doc = longer.repartition("doc_id", "th").sortWithinPartitions("doc_id", "th", "pos")
     return by_doc.mapInArrow(run, ROWS)
 
 
@@ -266,9 +281,9 @@ def deletions(docs: DataFrame, params: LineDedupParams) -> DataFrame:
     """(doc_id, th, gone): for each document with later copies, their places, times 64, plus their units."""
     first, size = materialise(units(docs, params), "line-units"), FIRST
     with arrow_rows(docs.sparkSession, 10_000):  # the rounds run here
-        later, longer = ranked(first, "line-ranks")
+        later, longer, ends = ranked(first, "line-ranks")
         while longer is not None:
-            more, longer = ranked(doubled(longer, size), "line-ranks")
+            more, longer, ends = ranked(doubled(longer, size, ends), "line-ranks")
             later, size = later.unionByName(more), 2 * size
     run = F.shiftleft(F.col("pos").cast("long"), 6).bitwiseOR(F.col("m").cast("long"))
     return later.groupBy("doc_id", "th").agg(F.collect_list(run).alias("gone"))  # bounded by the document's units

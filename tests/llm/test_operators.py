@@ -567,7 +567,7 @@ def test_intervals_across_partitions(spark, seed):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", (3, 17, 60)[seed - 1])
     try:
-        later, longer = linededup.ranked(spark.createDataFrame(table_, linededup.ROWS), "test-ranks")
+        later, longer, ends = linededup.ranked(spark.createDataFrame(table_, linededup.ROWS), "test-ranks")
         later, longer = later.collect(), longer.collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
@@ -576,7 +576,7 @@ def test_intervals_across_partitions(spark, seed):
         groups.setdefault(x[:3], []).append(x)
     want = sorted((x[3], x[4], x[5], k[2]) for k, g in groups.items() for x in g[1:] if x[6] >> k[2] & 1)
     assert sorted((x["doc_id"], x["th"], x["pos"], x["m"]) for x in later) == want and want
-    rank = {x["pos"]: x["rank"] for x in longer}
+    rank = {x["pos"]: int(ends.rank(np.array([x["part"]]), np.array([x["start"]]))[0]) for x in longer}
     assert set(rank) == {x[5] for k, g in groups.items() if len(g) > 1 for x in g if x[7] & 2}
     by_key = {}
     for pos, value in rank.items():
