@@ -6,7 +6,7 @@ their first 2, 4, 8, .. units: a round sorts the pairs (rank, rank 2^k units on)
 ranges of the whole corpus, the place in that order is the next rank, and a suffix whose rank is its own
 is dropped. Suffixes that are equal in their first m units stand together: an interval of the array
 whose longest common prefixes are m units at least. Any m between 2^k and 2^(k+1) is looked up in the same sort,
-by the two ranks that cover it; up to 4 units, by a hash. In each interval the first suffix is the first copy, the others are later ones.
+by the two ranks that cover it; up to 8 units, by a hash. In each interval the first suffix is the first copy, the others are later ones.
 
 Maximal repeated runs of `min_words` words are unions of minimal ones (from each start the shortest, to each end the
 shortest), so intervals of these lengths tell all that is deleted, and no round goes beyond `min_words` units.
@@ -61,7 +61,7 @@ def units_of(text: bytes) -> list[bytes]:
 def wanted(w: np.ndarray, doc: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """(bits, need) for each unit, of w words and in the document doc (equal numbers side by side). Bit m of bits: the run of
     m units from here is a minimal one, that is, the shortest from its start or to its end with min_words words. Bit k of need:
-    the rank of the first 2^k units from here (k at least 2) names a longer such run, by itself or by ranks made of it."""
+    the rank of the first 2^k units from here (k at least 3) names a longer such run, by itself or by ranks made of it."""
     n, i = len(w), np.arange(len(w))
     bits, need = np.zeros(n, np.int64), np.zeros(n, np.int8)
     if not n:
@@ -76,7 +76,7 @@ def wanted(w: np.ndarray, doc: np.ndarray, min_words: int) -> tuple[np.ndarray,
     for m, at in runs.items():
         bits[at] |= 1 << m
     above = np.zeros(0, np.int64)  # starts whose first 2^(k+1) units want a rank
-    for k in range(max([2, *runs]).bit_length(), 1, -1):
+    for k in range(max([2, *runs]).bit_length(), FIRST.bit_length() - 2, -1):
         at = [x for m, found in runs.items() if 1 << k < m <= 2 << k for x in (found, found + m - (1 << k))]
         above = np.unique(np.concatenate([*at, above, above + (1 << k)]).astype(np.int64))
         need[above] |= np.int8(1 << k)
@@ -129,7 +129,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 #: Units whose order is by a hash; rounds double from there.
-FIRST = 4
+FIRST = 8
 PLACED = "part int, start long, head boolean, edge byte, m byte, doc_id long, th int, pos int, bits long, need byte, note string"
 #: k by m = 2^k units, 7 for other lengths: no rank is needed of those.
 LEVEL = np.array([m.bit_length() - 1 if m > 1 and m & (m - 1) == 0 else 7 for m in range(64)], np.int8)

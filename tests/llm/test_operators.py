@@ -619,7 +619,7 @@ def test_minimal_runs_are_told_apart():
         bits, need = linededup.wanted(np.array(sum(docs, []), np.int64), np.repeat(np.arange(3), list(map(len, docs))), least)
         assert {(i, m) for i in range(at) for m in range(1, 63) if int(bits[i]) >> m & 1} == runs
         want = {k: set() for k in range(1, 8)}
-        for k in range(6, 1, -1):  # up to 4 units names are hashes
+        for k in range(6, linededup.FIRST.bit_length() - 2, -1):  # up to FIRST units names are hashes
             for s, m in runs:
                 want[k] |= {s, s + m - (1 << k)} if 1 << k < m <= 2 << k else set()
             want[k] |= want[k + 1] | {j + (1 << k) for j in want[k + 1]}
